@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 def settled(column: Column) -> Column:
     """The same column, computed where it is defined and nowhere else.
 
-    The optimizer moves a filter below the projections its columns come from and writes
-    their expressions out inside it. For columns derived in several stages the copies
-    multiply, and costly parsing runs twice. The condition here always holds, but it is
-    one the optimizer must leave in place, so a filter stays above it.
+    The optimizer moves a filter, also the one it infers for an exploded array, below the
+    projections its columns come from and writes their expressions out inside it. For
+    columns derived in several stages the copies multiply, and costly parsing or scoring
+    runs twice. The condition here always holds, but it is one the optimizer must leave in
+    place, so a filter stays above it.
     """
     return F.when(F.spark_partition_id() >= 0, column)

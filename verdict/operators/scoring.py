@@ -154,10 +154,10 @@ def registry(*steps) -> dict:
 
 
 def add_verdicts(corpus: DataFrame, scorers: Iterable[Scorer]) -> DataFrame:
-    """Run every scorer over every row: adds ``verdicts``, one entry per scorer.
+    """Run every scorer over every row: adds ``verdicts``, a struct with a field per scorer.
 
     ``corpus`` holds ``comment`` and may hold ``text``, which wins where it is not empty.
-    An entry is (model, success, flagged, error). All scorers share one projection.
+    A field is (model, success, flagged, error). All scorers share one projection.
     """
     scorers = list(scorers)
     candidates = [F.col(c) for c in ("text", "comment") if c in corpus.columns]
@@ -175,14 +175,19 @@ def add_verdicts(corpus: DataFrame, scorers: Iterable[Scorer]) -> DataFrame:
                 error.isNull().alias("success"),
                 F.when(error.isNull(), verdict["flagged"]).alias("flagged"),
                 error.alias("error"),
-            )
+            ).alias(f"v{i}")
         )
-    return df.select(*corpus.columns, F.array(*entries).alias("verdicts"))
+    return df.select(*corpus.columns, F.struct(*entries).alias("verdicts"))
 
 
 def one_row_per_model(scored: DataFrame, carry: Iterable[str]) -> DataFrame:
-    """One row per entry of ``verdicts``, next to the ``carry`` columns."""
-    return scored.select(*carry, F.inline("verdicts"))
+    """One row per field of ``verdicts``, next to the ``carry`` columns.
+
+    The array is made here: for one that is a column already the optimizer would infer a
+    filter on its size, and evaluate the scorers once more to compute it.
+    """
+    names = scored.schema["verdicts"].dataType.names
+    return scored.select(*carry, F.inline(F.array(*[F.col(f"verdicts.{n}") for n in names])))
 
 
 def score_corpus(corpus: DataFrame, scorers: Iterable[Scorer], carry: Iterable[str] = ()) -> DataFrame:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdict.functions import settled
 from verdict.functions.variants import described, stored_text, strict_variant, without_bom
 from verdict.operators.records import (
     broken_in_output,
@@ -262,7 +263,7 @@ def run_plans(routed: DataFrame, plans: Iterable[Plan], registry: dict) -> DataF
     return df.select(
         *routed.columns,
         *[
-            (
+            settled(
                 F.when(F.col("reason").isNull(), by_plan(c)) if live else F.lit(None).cast(types[a])
             ).alias(a)
             for a, c in added.items()
