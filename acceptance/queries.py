@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from acceptance import inputs as given
 from verdict.functions.text import reply_is_yes
-from verdict.functions.variants import strict_variant
+from verdict.functions.variants import with_strict_variant
 from verdict.operators import records
 from verdict.operators.envelope import decode_messages, encode_messages
 from verdict.operators.evaluate import accuracy_by_model as accuracy
 from verdict.operators.evaluate import row_correctness as correctness
+from verdict.operators.evaluate import score_labelled
 from verdict.operators.outcomes import (
     count_outcomes,
     dead_messages,
@@ -25,9 +26,7 @@ from verdict.operators.outcomes import (
 )
 from verdict.operators.scoring import (
     ModelScorer,
-    add_verdicts,
     echo_answer,
-    one_row_per_model,
     score_corpus,
     smoke_check,
 )
@@ -60,16 +59,13 @@ def query(fn: Query) -> Query:
 
 
 def _labelled_flags(spark, sf_dir):
-    """(doc_id, label, model, flagged). Texts are scored where they are read and dropped
-    before the join, so however large the label table is, only flags are shuffled."""
-    documents = given.table(spark, sf_dir, "documents").withColumnRenamed("text", "comment")
-    verdicts = add_verdicts(documents, given.scorers()).select("doc_id", "verdicts")
+    documents = given.table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("text").alias("comment")
+    )
     labels = given.table(spark, sf_dir, "labels").select(
         "doc_id", F.col("toxic").cast("double").alias("label")
     )
-    return one_row_per_model(verdicts.join(labels, "doc_id", "left"), ["doc_id", "label"]).filter(
-        F.col("success")
-    )
+    return score_labelled(documents, labels, given.scorers(), "doc_id")
 
 
 @query
@@ -240,7 +236,7 @@ def sanitize_json(spark, sf_dir):
         .when(n == 3, F.concat(F.col("props"), F.lit("﻿"), F.lit("]")))
         .otherwise(F.col("props"))
     )
-    events = given.table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
+    events = given.events(spark, sf_dir).select("event_id", raw.alias("raw"))
     return records.canonical_json(events, "raw", "clean").select("event_id", "clean")
 
 
@@ -342,12 +338,11 @@ def batch_outcome(spark, sf_dir):
 @query
 def echo_step(spark, sf_dir):
     """Event properties echoed, every third of them cut short."""
-    text = F.when(F.col("event_id") % 3 == 0, F.expr("left(props, length(props) - 1)")).otherwise(
-        F.col("props")
-    )
-    return given.table(spark, sf_dir, "events").select(
-        "event_id", F.to_json(echo_answer(strict_variant(text))).alias("answer")
+    events = given.events(spark, sf_dir).withColumn(
+        "text", F.expr("if(event_id % 3 = 0, left(props, length(props) - 1), props)")
     )
+    parsed = with_strict_variant(events, "text", "value")
+    return parsed.select("event_id", F.expr(f"to_json({echo_answer('value')})").alias("answer"))
 
 
 @query
@@ -405,8 +400,8 @@ def jsonl_input(spark, sf_dir):
     quoted = F.when(
         F.col("event_id") % 2 == 0, F.concat(F.lit("'"), line, F.lit("'"))
     ).otherwise(line)
-    given.table(spark, sf_dir, "events").select(quoted.alias("value")).write.text(where)
-    read = read_scorer_lines(spark, where).withColumn("input", strict_variant(F.col("json")))
+    given.events(spark, sf_dir).select(quoted.alias("value")).write.text(where)
+    read = with_strict_variant(read_scorer_lines(spark, where), "json", "input")
     return read.select(
         F.try_variant_get("input", "$.event_id", "bigint").alias("event_id"),
         F.try_variant_get("input", "$.props", "string").alias("props"),

@@ -20,16 +20,6 @@ RECORD_SPACE = CONTROL_SPACE + SEPARATORS + UNICODE_SPACE + NEXT_LINE
 REPLY_SPACE = CONTROL_SPACE + UNICODE_SPACE + BOM
 
 
-def strip_space(text: Column) -> Column:
-    """Remove Unicode white space from both ends; the built-in trim knows only U+0020."""
-    return F.btrim(text, F.lit(RECORD_SPACE))
-
-
-def drop_bom(text: Column) -> Column:
-    """Remove every U+FEFF, also inside the text."""
-    return F.replace(text, F.lit(BOM), F.lit(""))
-
-
 def reply_is_yes(reply: Column) -> Column:
     """True for a reply that says YES, whatever its case and surrounding space; never null."""
     return F.coalesce(F.upper(F.btrim(reply, F.lit(REPLY_SPACE))) == "YES", F.lit(False))
@@ -45,14 +35,20 @@ _DIGITS = r"[0-9]+(?:_[0-9]+)*"
 _NUMBER = (
     rf"(?i)^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf(?:inity)?)$"
 )
+_RECORD_SPACE_SQL = "".join(f"\\u{ord(c):04x}" for c in RECORD_SPACE)
 
 
-def parse_number(text: Column) -> Column:
-    """Text to double; null for anything that is not a number, and for NaN.
+def parse_number(text: str) -> str:
+    """SQL expression: text to double; null for anything that is not a number, and for NaN.
 
     A plain cast takes type suffixes (``1d``) and refuses grouped digits (``1_000``),
     so the form is checked first.
     """
-    bare = strip_space(text)
-    digits = F.replace(bare, F.lit("_"), F.lit(""))
-    return F.when(bare.rlike(_NUMBER), digits.try_cast("double"))
+    bare = f"btrim({text}, '{_RECORD_SPACE_SQL}')"
+    return f"""CASE WHEN {bare} RLIKE r'{_NUMBER}'
+      THEN try_cast(replace({bare}, '_', '') AS DOUBLE) END"""
+
+
+def clean_json_text(text: str) -> str:
+    """SQL expression: strip the ends, then drop every U+FEFF."""
+    return f"replace(btrim({text}, '{_RECORD_SPACE_SQL}'), '\\ufeff', '')"

@@ -1,12 +1,15 @@
-"""JSON values as VARIANT: strict parsing, exact types, truthiness."""
+"""JSON values as VARIANT: strict parsing, exact types, truthiness.
+
+The functions take and return SQL expressions as text. The rules of this package combine
+dozens of small tests; written as text a rule reaches the session in one call, which
+keeps the start of a query, and of every micro-batch of a stream, short.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdict.functions.text import drop_bom
-
 # The parser reads the first value of a text and ignores the rest. The text is therefore
 # put into an array ahead of this number: where the number comes out as second element,
 # nothing followed the value. A number has no escaped spelling, so a text without these
@@ -14,108 +17,100 @@ from verdict.functions.text import drop_bom
 _END = "271828182845.90452353"
 
 
-def _parse_pair(text: Column) -> Column:
+def _parse_pair(text: str) -> str:
     # Only a text that holds the digits itself needs the two-sided test: after the first
     # value the array form admits "," "]" or the end, the object form "," "}" or the end,
     # and a "," satisfies the object form only with a key that breaks the array form.
-    harmless = ~F.contains(text, F.lit(_END)) | (
-        F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
-        & F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}"))).isNotNull()
-    )
-    return F.try_parse_json(
-        F.when(harmless, F.concat(F.lit("["), text, F.lit(f"\n,{_END}]")))
-    )
+    return f"""try_parse_json(CASE WHEN NOT contains({text}, '{_END}')
+        OR (try_parse_json('[' || {text} || ']') IS NOT NULL
+          AND try_parse_json('{{"w":' || {text} || '}}') IS NOT NULL)
+      THEN '[' || {text} || '\\n,{_END}]' END)"""
+
 
+def _only_value(pair: str) -> str:
+    return f"""CASE WHEN to_json(try_variant_get({pair}, '$[1]', 'variant')) = '{_END}'
+      THEN try_variant_get({pair}, '$[0]', 'variant') END"""
 
-def strict_variant(text: Column) -> Column:
+
+def strict_variant(text: str) -> str:
     """The value of a text that is exactly one JSON value, else null."""
-    pair = _parse_pair(text)
-    ended = F.to_json(F.try_variant_get(pair, "$[1]", "variant")) == _END
-    return F.when(ended, F.try_variant_get(pair, "$[0]", "variant"))
+    return _only_value(_parse_pair(text))
 
 
-def with_strict_variant(df: DataFrame, text: Column, into: str) -> DataFrame:
-    """As ``strict_variant``, in two projections, so that the text is parsed once."""
-    pair = F.col("_pair")
-    ended = F.to_json(F.try_variant_get(pair, "$[1]", "variant")) == _END
+def with_strict_variant(df: DataFrame, text: str, into: str) -> DataFrame:
+    """The same in two projections, so that the text is parsed once."""
     return (
-        df.withColumn("_pair", _parse_pair(text))
-        .withColumn(into, F.when(ended, F.try_variant_get(pair, "$[0]", "variant")))
+        df.withColumn("_pair", F.expr(_parse_pair(text)))
+        .withColumn(into, F.expr(_only_value("_pair")))
         .drop("_pair")
     )
 
 
-def pick(value: Column, *names: str) -> Column:
+def pick(value: str, *names: str) -> str:
     """Several keys of an object at once, as a struct of VARIANTs; null for a non-object."""
-    return F.try_variant_get(value, "$", f"struct<{','.join(f'{n} variant' for n in names)}>")
+    fields = ",".join(f"{name} variant" for name in names)
+    return f"try_variant_get({value}, '$', 'struct<{fields}>')"
 
 
-def kind_of(value: Column) -> Column:
+def kind_of(value: str) -> str:
     """Type name such as STRING, BIGINT, BOOLEAN, VOID or OBJECT<..>; null where absent.
 
     Reads only type tags, so it stays cheap for objects that hold long texts, and unlike
     a cast it keeps the string "true" apart from the boolean.
     """
-    return F.schema_of_variant(value)
+    return f"schema_of_variant({value})"
 
 
-def text_of(value: Column) -> Column:
+def text_of(value: str) -> str:
     """A scalar as text, an object or array as JSON text."""
-    return F.try_variant_get(value, "$", "string")
+    return f"try_variant_get({value}, '$', 'string')"
 
 
-def described(value: Column) -> Column:
+def described(value: str) -> str:
     """``struct<kind, text>`` of a value, from which the tests below are simple compares.
 
     Objects are not written out; their text is null.
     """
     kind = kind_of(value)
-    text = F.when(~F.startswith(kind, F.lit("OBJECT")), text_of(value))
-    return F.struct(kind.alias("kind"), text.alias("text"))
+    text = f"CASE WHEN NOT startswith({kind}, 'OBJECT') THEN {text_of(value)} END"
+    return f"named_struct('kind', {kind}, 'text', {text})"
 
 
-def described_text(value: Column) -> Column:
+def described_text(value: str) -> str:
     """``struct<kind, text, value>`` of a value meant to be a text: an object comes as JSON."""
-    return F.struct(
-        kind_of(value).alias("kind"), text_of(value).alias("text"), value.alias("value")
-    )
+    return f"named_struct('kind', {kind_of(value)}, 'text', {text_of(value)}, 'value', {value})"
 
 
-def without_bom(seen: Column) -> Column:
+def without_bom(seen: str) -> str:
     """A described value with U+FEFF dropped from its text."""
-    return F.struct(seen["kind"].alias("kind"), drop_bom(seen["text"]).alias("text"))
+    return f"named_struct('kind', {seen}.kind, 'text', replace({seen}.text, '\\ufeff', ''))"
 
 
-def is_object(seen: Column) -> Column:
+def is_object(seen: str) -> str:
     """Whether a described value is an object; the tests below take described values too."""
-    return F.coalesce(F.startswith(seen["kind"], F.lit("OBJECT")), F.lit(False))
+    return f"coalesce(startswith({seen}.kind, 'OBJECT'), false)"
 
 
-def is_boolean(seen: Column) -> Column:
-    return F.coalesce(seen["kind"] == "BOOLEAN", F.lit(False))
+def is_boolean(seen: str) -> str:
+    return f"coalesce({seen}.kind = 'BOOLEAN', false)"
 
 
-def is_falsy(seen: Column, empty_containers: bool = True) -> Column:
+def is_falsy(seen: str, empty_containers: bool = True) -> str:
     """Absent, null, false, zero, empty text and, by default, empty objects and arrays."""
-    kind, text = seen["kind"], seen["text"]
-    zeros = ["false", "0", "0.0", "-0.0"]
-    empty = (kind == "VOID") | (text == "")
+    kinds, texts = "'VOID'", "'false', '0', '0.0', '-0.0'"
     if empty_containers:
-        zeros.append("[]")
-        empty = empty | (kind == "OBJECT<>")
-    return F.coalesce(empty | ((kind != "STRING") & text.isin(zeros)), kind.isNull())
+        kinds, texts = kinds + ", 'OBJECT<>'", texts + ", '[]'"
+    return f"""coalesce({seen}.kind IN ({kinds}) OR {seen}.text = ''
+      OR ({seen}.kind <> 'STRING' AND {seen}.text IN ({texts})), {seen}.kind IS NULL)"""
 
 
-def is_unbindable(seen: Column) -> Column:
+def is_unbindable(seen: str) -> str:
     """True for what a scalar column cannot hold: containers, integers beyond 64 bits."""
-    too_long = seen["kind"].rlike(r"^DECIMAL\(\d+,0\)$") & seen["text"].try_cast("bigint").isNull()
-    return F.coalesce(seen["kind"].rlike("^(OBJECT|ARRAY)") | too_long, F.lit(False))
+    return f"""coalesce(startswith({seen}.kind, 'OBJECT') OR startswith({seen}.kind, 'ARRAY')
+      OR ({seen}.kind LIKE 'DECIMAL(%,0)' AND try_cast({seen}.text AS BIGINT) IS NULL), false)"""
 
 
-def stored_text(seen: Column) -> Column:
+def stored_text(seen: str) -> str:
     """A scalar as a text column keeps it: booleans as 1 and 0."""
-    return (
-        F.when(seen["kind"] != "BOOLEAN", seen["text"])
-        .when(seen["text"] == "true", "1")
-        .when(seen["text"] == "false", "0")
-    )
+    return f"""CASE WHEN {seen}.kind <> 'BOOLEAN' THEN {seen}.text
+      WHEN {seen}.text = 'true' THEN '1' WHEN {seen}.text = 'false' THEN '0' END"""

@@ -28,25 +28,33 @@ def decode_messages(messages: DataFrame, body: str = "value") -> DataFrame:
 
     Bodies may be text or bytes. An empty or missing input is null ("no input").
     """
-    text = F.col(body).cast("string")
-    parsed = with_strict_variant(messages, F.when(F.is_valid_utf8(text), text), "_message")
-    opened = parsed.withColumn("_message", pick(F.col("_message"), "plan", "input"))
-    seen = opened.withColumns(
-        {
-            "_plan": described(F.col("_message.plan")),
-            "_input": described(F.col("_message.input")),
-        }
+    text = f"CAST({body} AS STRING)"
+    whole = f"CASE WHEN is_valid_utf8({text}) THEN {text} END"
+    return (
+        with_strict_variant(messages, whole, "_message")
+        .withColumn("_message", F.expr(pick("_message", "plan", "input")))
+        .withColumns(
+            {
+                "_plan": F.expr(described("_message.plan")),
+                "_input": F.expr(described("_message.input")),
+            }
+        )
+        .withColumns(
+            {
+                "plan": F.expr(settled(f"CASE WHEN NOT {is_falsy('_plan')} THEN _plan.text END")),
+                "input": F.expr(
+                    settled(f"CASE WHEN NOT {is_falsy('_input')} THEN _message.input END")
+                ),
+                "reason": F.expr(
+                    settled(
+                        f"CASE WHEN _message IS NULL THEN '{BAD_MESSAGE}' "
+                        f"WHEN {is_falsy('_plan')} THEN '{MISSING_PLAN}' END"
+                    )
+                ),
+            }
+        )
+        .drop("_message", "_plan", "_input")
     )
-    no_plan = is_falsy(F.col("_plan"))
-    return seen.withColumns(
-        {
-            "plan": settled(F.when(~no_plan, F.col("_plan.text"))),
-            "input": settled(F.when(~is_falsy(F.col("_input")), F.col("_message.input"))),
-            "reason": settled(
-                F.when(F.col("_message").isNull(), BAD_MESSAGE).when(no_plan, MISSING_PLAN)
-            ),
-        }
-    ).drop("_message", "_plan", "_input")
 
 
 def take_messages(messages: DataFrame, n: int) -> DataFrame:

@@ -45,21 +45,16 @@ def score_messages(
         "_body", F.when(F.col("reason").isNotNull(), F.col(body).cast("string"))
     )
     checked = stored_answers(reported, plans, registry, carry=["_body"])
-    kind = (
-        F.when(F.col("reason").isNotNull(), DEAD)
-        .when(F.col("_nth").isNull(), EMPTY)
-        .when(F.col("reject").isNull(), ACCEPTED)
-        .otherwise(REJECTED)
-    )
-    marked = checked.withColumn("kind", settled(kind))
-    kept, refused = F.col("kind") == ACCEPTED, F.col("kind") == REJECTED
-    return marked.select(
+    kind = f"""CASE WHEN reason IS NOT NULL THEN '{DEAD}' WHEN _nth IS NULL THEN '{EMPTY}'
+      WHEN reject IS NULL THEN '{ACCEPTED}' ELSE '{REJECTED}' END"""
+    marked = checked.withColumn("kind", F.expr(settled(kind)))
+    return marked.selectExpr(
         "kind",
-        (F.coalesce(F.col("_nth"), F.lit(0)) == 0).alias("first"),
+        "coalesce(_nth, 0) = 0 AS first",
         "plan",
-        F.when(refused, F.col("reject")).otherwise(F.col("reason")).alias("reason"),
-        F.when(refused, F.col("answer_json")).otherwise(F.col("_body")).alias("body"),
-        *[F.when(kept, F.col(c)).alias(c) for c in RESULT_COLUMNS],
+        f"CASE WHEN kind = '{REJECTED}' THEN reject ELSE reason END AS reason",
+        f"CASE WHEN kind = '{REJECTED}' THEN answer_json ELSE _body END AS body",
+        *[f"CASE WHEN kind = '{ACCEPTED}' THEN {c} END AS {c}" for c in RESULT_COLUMNS],
     )
 
 

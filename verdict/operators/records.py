@@ -6,11 +6,11 @@ timestamp}}. The first rule it breaks names the reason; the other answers go on.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdict.functions import settled
-from verdict.functions.text import drop_bom, parse_number, strip_space
+from verdict.functions.text import clean_json_text, parse_number
 from verdict.functions.variants import (
     described,
     is_boolean,
@@ -37,14 +37,10 @@ REASONS = (
 RESULT_COLUMNS = ("record_id", "comment", "label", "model", "flagged", "input_ts")
 
 
-def clean_json_text(text: Column) -> Column:
-    """Strip the ends, then drop every U+FEFF."""
-    return drop_bom(strip_space(text))
-
-
 def parse_answers(answers: DataFrame, text: str, into: str = "answer") -> DataFrame:
     """JSON text to VARIANT; null where the cleaned text is not exactly one JSON value."""
-    return with_strict_variant(answers, clean_json_text(F.col(text)), into)
+    cleaned = answers.withColumn("_clean", F.expr(clean_json_text(text)))
+    return with_strict_variant(cleaned, "_clean", into).drop("_clean")
 
 
 def canonical_json(answers: DataFrame, text: str, into: str) -> DataFrame:
@@ -53,90 +49,87 @@ def canonical_json(answers: DataFrame, text: str, into: str) -> DataFrame:
     return parsed.withColumn(into, F.to_json("_parsed")).drop("_parsed")
 
 
-def coerce_label(seen: Column) -> Column:
+def coerce_label(seen: str) -> str:
     """A described label to double: text that is no number is null, booleans are 1 and 0."""
-    return F.when(
-        seen["kind"] == "BOOLEAN", (seen["text"] == "true").cast("int").cast("double")
-    ).otherwise(parse_number(seen["text"]))
+    return f"""CASE WHEN {seen}.kind = 'BOOLEAN' THEN if({seen}.text = 'true', 1.0D, 0.0D)
+      ELSE {parse_number(f"{seen}.text")} END"""
 
 
-# The rules run in three stages, each a column of its own: a field is looked up and
-# described once, and the generated code of each stage stays small.
+# The rules run in stages, each a column of its own: a field is looked up and described
+# once, and the generated code of each stage stays small.
 
 
-def _open(answer: Column) -> Column:
-    return F.struct(
-        answer.isNotNull().alias("is_json"),
-        pick(answer, "success", "model", "is_hate_speech", "output").alias("top"),
-    )
+def _opened(answer: str) -> str:
+    top = pick(answer, "success", "model", "is_hate_speech", "output")
+    return f"named_struct('is_json', {answer} IS NOT NULL, 'top', {top})"
 
 
-def _cleaned(value: Column) -> Column:
-    return without_bom(described(value))
+def _looked_inside(opened: str) -> str:
+    top = f"{opened}.top"
+    inner = pick(f"{top}.output", "id", "text", "comment", "label", "timestamp")
+    return f"""named_struct('is_json', {opened}.is_json, 'is_object', {top} IS NOT NULL,
+      'success', {described(f"{top}.success")},
+      'model', {described(f"{top}.model")},
+      'flag', {described(f"{top}.is_hate_speech")},
+      'output', {described(f"{top}.output")},
+      'inner', {inner})"""
 
 
-def _look_inside(opened: Column) -> Column:
-    top = opened["top"]
-    return F.struct(
-        opened["is_json"].alias("is_json"),
-        top.isNotNull().alias("is_object"),
-        described(top["success"]).alias("success"),
-        _cleaned(top["model"]).alias("model"),
-        described(top["is_hate_speech"]).alias("flag"),
-        _cleaned(top["output"]).alias("output"),
-        pick(top["output"], "id", "text", "comment", "label", "timestamp").alias("inner"),
-    )
+def _described_output(record: str) -> str:
+    parts = ("id", "text", "comment", "label", "timestamp")
+    fields = ", ".join(f"'{name}', {described(f'{record}.inner.{name}')}" for name in parts)
+    return f"named_struct({fields})"
 
 
-def _describe_output(record: Column) -> Column:
-    inner = record["inner"]
-    return F.struct(
-        *[
-            _cleaned(inner[name]).alias(name)
-            for name in ("id", "text", "comment", "label", "timestamp")
-        ]
-    )
+def _cleaned(record: str, output: str) -> str:
+    """The fields that are stored, without U+FEFF, and the content chosen among them."""
 
+    def clean(seen):
+        return without_bom(seen)
 
-def _content(output: Column) -> Column:
-    return F.when(is_falsy(output["text"]), output["comment"]).otherwise(output["text"])
+    text = f"replace({output}.text.text, '\\ufeff', '')"
+    no_text = is_falsy(f"named_struct('kind', {output}.text.kind, 'text', {text})")
+    return f"""named_struct('model', {clean(f"{record}.model")},
+      'output', {clean(f"{record}.output")},
+      'id', {clean(f"{output}.id")},
+      'content', CASE WHEN {no_text} THEN {clean(f"{output}.comment")}
+        ELSE {clean(f"{output}.text")} END,
+      'label', {clean(f"{output}.label")},
+      'timestamp', {clean(f"{output}.timestamp")})"""
 
 
-def broken_in_output(ident: Column, content: Column, label: Column) -> Column:
+def broken_in_output(ident: str, content: str, label: str) -> str:
     """The rule an output object breaks with its cleaned id, content and label, or null."""
-    unbindable = is_unbindable(ident) | is_unbindable(content) | is_unbindable(label)
-    return F.when(is_falsy(ident) | is_falsy(content), "bad_output").when(unbindable, "unbindable")
-
-
-def _first_broken(record: Column, output: Column, content: Column) -> Column:
-    time = output["timestamp"]
-    return F.coalesce(
-        F.when(~record["is_json"], "invalid_json")
-        .when(~record["is_object"], "not_object")
-        .when(~is_boolean(record["success"]), "bad_success")
-        .when(is_falsy(record["model"]), "missing_model")
-        .when(~is_boolean(record["flag"]), "bad_flag")
-        .when(is_falsy(record["output"]), "bad_output")
-        .when(~is_object(record["output"]), "output_not_object"),
-        broken_in_output(output["id"], content, output["label"]),
-        F.when(
-            is_unbindable(record["model"]) | (is_unbindable(time) & ~is_falsy(time)), "unbindable"
-        ),
-    )
-
-
-def count_accepted(answers: Column) -> Column:
+    return f"""CASE WHEN {is_falsy(ident)} OR {is_falsy(content)} THEN 'bad_output'
+      WHEN {is_unbindable(ident)} OR {is_unbindable(content)} OR {is_unbindable(label)}
+      THEN 'unbindable' END"""
+
+
+def _first_broken(record: str, cleaned: str) -> str:
+    time = f"{cleaned}.timestamp"
+    fields = broken_in_output(f"{cleaned}.id", f"{cleaned}.content", f"{cleaned}.label")
+    return f"""coalesce(
+      CASE WHEN NOT {record}.is_json THEN 'invalid_json'
+        WHEN NOT {record}.is_object THEN 'not_object'
+        WHEN NOT {is_boolean(f"{record}.success")} THEN 'bad_success'
+        WHEN {is_falsy(f"{cleaned}.model")} THEN 'missing_model'
+        WHEN NOT {is_boolean(f"{record}.flag")} THEN 'bad_flag'
+        WHEN {is_falsy(f"{cleaned}.output")} THEN 'bad_output'
+        WHEN NOT {is_object(f"{cleaned}.output")} THEN 'output_not_object' END,
+      {fields},
+      CASE WHEN {is_unbindable(f"{cleaned}.model")}
+        OR ({is_unbindable(time)} AND NOT {is_falsy(time)}) THEN 'unbindable' END)"""
+
+
+def count_accepted(answers: str) -> str:
     """How many of an array of answers break no rule."""
-    records = F.transform(F.transform(answers, _open), _look_inside)
-    pairs = F.transform(
-        records, lambda r: F.struct(r.alias("record"), _describe_output(r).alias("output"))
-    )
-    return F.size(
-        F.filter(
-            pairs,
-            lambda p: _first_broken(p["record"], p["output"], _content(p["output"])).isNull(),
-        )
-    )
+    return f"""size(filter(
+      transform(
+        transform(
+          transform(transform({answers}, a -> {_opened("a")}), o -> {_looked_inside("o")}),
+          r -> named_struct('record', r, 'output', {_described_output("r")})),
+        p -> named_struct('record', p.record, 'cleaned', {_cleaned("p.record", "p.output")})),
+      c -> {_first_broken("c.record", "c.cleaned")} IS NULL))"""
 
 
 def check_answers(answers: DataFrame, answer: str = "answer") -> DataFrame:
@@ -145,26 +138,23 @@ def check_answers(answers: DataFrame, answer: str = "answer") -> DataFrame:
     ``answer`` is a VARIANT that is null for text that was not JSON. Nothing is dropped
     and nothing is shuffled; callers split on ``reject``.
     """
-    record, output, content = F.col("_record"), F.col("_described"), F.col("_content")
+    time = "_cleaned.timestamp"
+    columns = {
+        "reject": settled(_first_broken("_record", "_cleaned")),
+        "record_id": stored_text("_cleaned.id"),
+        "comment": stored_text("_cleaned.content"),
+        "label": coerce_label("_cleaned.label"),
+        "model": stored_text("_cleaned.model"),
+        "flagged": "_record.flag.text = 'true'",
+        "input_ts": f"CASE WHEN NOT {is_falsy(time)} THEN {stored_text(time)} END",
+    }
     return (
-        answers.withColumn("_opened", _open(F.col(answer)))
-        .withColumn("_record", _look_inside(F.col("_opened")))
-        .withColumn("_described", _describe_output(record))
-        .withColumn("_content", _content(output))
-        .withColumns(
-            {
-                "reject": settled(_first_broken(record, output, content)),
-                "record_id": stored_text(output["id"]),
-                "comment": stored_text(content),
-                "label": coerce_label(output["label"]),
-                "model": stored_text(record["model"]),
-                "flagged": record["flag"]["text"] == "true",
-                "input_ts": F.when(
-                    ~is_falsy(output["timestamp"]), stored_text(output["timestamp"])
-                ),
-            }
-        )
-        .drop("_opened", "_record", "_described", "_content")
+        answers.withColumn("_opened", F.expr(_opened(answer)))
+        .withColumn("_record", F.expr(_looked_inside("_opened")))
+        .withColumn("_output", F.expr(_described_output("_record")))
+        .withColumn("_cleaned", F.expr(_cleaned("_record", "_output")))
+        .withColumns({name: F.expr(rule) for name, rule in columns.items()})
+        .drop("_opened", "_record", "_output", "_cleaned")
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
+from verdict.functions import literal
 from verdict.functions.text import first_text
 from verdict.functions.variants import described_text, is_falsy, pick
 
@@ -164,17 +165,16 @@ def add_verdicts(corpus: DataFrame, scorers: Iterable[Scorer]) -> DataFrame:
     df = corpus.withColumn("_text", first_text(*candidates))
     for i, scorer in enumerate(scorers):
         df = scorer.add_verdict(df, "_text", f"_v{i}")
-    missing = F.when(F.col("_text").isNull(), MISSING_TEXT)
     entries = []
     for i, scorer in enumerate(scorers):
-        verdict = F.col(f"_v{i}")
-        error = F.coalesce(missing, verdict_error(verdict))
+        error = f"""coalesce(
+          CASE WHEN _text IS NULL THEN '{MISSING_TEXT}' END, {verdict_error(f"_v{i}")})"""
         entries.append(
             F.struct(
                 F.lit(scorer.name).alias("model"),
-                error.isNull().alias("success"),
-                F.when(error.isNull(), verdict["flagged"]).alias("flagged"),
-                error.alias("error"),
+                F.expr(f"{error} IS NULL").alias("success"),
+                F.expr(f"CASE WHEN {error} IS NULL THEN _v{i}.flagged END").alias("flagged"),
+                F.expr(error).alias("error"),
             ).alias(f"v{i}")
         )
     return df.select(*corpus.columns, F.struct(*entries).alias("verdicts"))
@@ -199,85 +199,66 @@ def score_corpus(corpus: DataFrame, scorers: Iterable[Scorer], carry: Iterable[s
     return one_row_per_model(add_verdicts(corpus, scorers), carry)
 
 
-def verdict_error(verdict: Column) -> Column:
+def verdict_error(verdict: str) -> str:
     """Why a text that was there has no flag, or null."""
-    return F.coalesce(verdict["error"], F.when(verdict["flagged"].isNull(), NO_VERDICT))
+    return f"coalesce({verdict}.error, CASE WHEN {verdict}.flagged IS NULL THEN '{NO_VERDICT}' END)"
 
 
-def open_input(df: DataFrame, value: Column, into: str) -> DataFrame:
+def open_input(df: DataFrame, value: str, into: str) -> DataFrame:
     """Add what a scorer needs of its input, a VARIANT that is null for text not JSON.
 
     ``{into}`` is the input's fields; ``{into}_chosen`` describes the one to classify:
     ``text``, else ``comment``, null where neither says anything. Empty objects and
     arrays do say something here.
     """
-    opened = df.withColumn(into, pick(value, "id", "text", "comment", "label"))
-    seen = opened.withColumns(
-        {
-            f"{into}_a": described_text(F.col(f"{into}.text")),
-            f"{into}_b": described_text(F.col(f"{into}.comment")),
-        }
-    )
-    text, comment = F.col(f"{into}_a"), F.col(f"{into}_b")
-    chosen = F.when(~is_falsy(text, empty_containers=False), text).when(
-        ~is_falsy(comment, empty_containers=False), comment
+    text, comment = f"{into}_a", f"{into}_b"
+    chosen = f"""CASE WHEN NOT {is_falsy(text, empty_containers=False)} THEN {text}
+      WHEN NOT {is_falsy(comment, empty_containers=False)} THEN {comment} END"""
+    return (
+        df.withColumn(into, F.expr(pick(value, "id", "text", "comment", "label")))
+        .withColumns(
+            {
+                text: F.expr(described_text(f"{into}.text")),
+                comment: F.expr(described_text(f"{into}.comment")),
+            }
+        )
+        .withColumn(f"{into}_chosen", F.expr(chosen))
+        .drop(text, comment)
     )
-    return seen.withColumn(f"{into}_chosen", chosen).drop(f"{into}_a", f"{into}_b")
 
 
-def input_error(value: Column, chosen: Column) -> Column:
+def input_error(value: str, chosen: str) -> str:
     """Why an input cannot be classified at all, or null."""
-    return F.when(value.isNull() | F.is_variant_null(value), INVALID_INPUT).when(
-        chosen.isNull(), MISSING_TEXT
-    )
+    return f"""CASE WHEN {value} IS NULL OR is_variant_null({value}) THEN '{INVALID_INPUT}'
+      WHEN {chosen} IS NULL THEN '{MISSING_TEXT}' END"""
 
 
-def echoed(opened: Column, chosen: Column) -> Column:
+def echoed(opened: str, chosen: str) -> str:
     """What an answer repeats of its input: id, the chosen text and label, nothing else."""
-    return F.to_variant_object(
-        F.struct(
-            opened["id"].alias("id"),
-            chosen["value"].alias("comment"),
-            opened["label"].alias("label"),
-        )
-    )
+    return f"""to_variant_object(named_struct(
+      'id', {opened}.id, 'comment', {chosen}.value, 'label', {opened}.label))"""
 
 
-def build_answer(name: str, value: Column, opened: Column, chosen: Column, verdict: Column) -> Column:
+def build_answer(name: str, value: str, opened: str, chosen: str, verdict: str) -> str:
     """The answer object of one scorer as VARIANT, from the columns of ``open_input``."""
-    model = F.lit(name).alias("model")
+    model = literal(name)
 
-    def failed(code, *more):
-        return F.to_variant_object(
-            F.struct(F.lit(False).alias("success"), model, code.alias("error"), *more)
-        )
+    def failed(code, more=""):
+        return f"to_variant_object(named_struct('success', false, 'model', {model}, 'error', {code}{more}))"
 
-    answered = F.to_variant_object(
-        F.struct(
-            F.lit(True).alias("success"),
-            model,
-            verdict["flagged"].alias("is_hate_speech"),
-            echoed(opened, chosen).alias("output"),
-        )
-    )
-    return (
-        F.when(value.isNull() | F.is_variant_null(value), failed(F.lit(INVALID_INPUT)))
-        .when(chosen.isNull(), failed(F.lit(MISSING_TEXT), value.alias("output")))
-        .when(verdict_error(verdict).isNotNull(), failed(verdict_error(verdict)))
-        .otherwise(answered)
-    )
+    return f"""CASE
+      WHEN {value} IS NULL OR is_variant_null({value}) THEN {failed(f"'{INVALID_INPUT}'")}
+      WHEN {chosen} IS NULL THEN {failed(f"'{MISSING_TEXT}'", f", 'output', {value}")}
+      WHEN {verdict_error(verdict)} IS NOT NULL THEN {failed(verdict_error(verdict))}
+      ELSE to_variant_object(named_struct('success', true, 'model', {model},
+        'is_hate_speech', {verdict}.flagged, 'output', {echoed(opened, chosen)})) END"""
 
 
-def echo_answer(value: Column) -> Column:
+def echo_answer(value: str) -> str:
     """Answer of the echo step; ``value`` is null for text that was not JSON."""
-    return F.when(
-        value.isNull(),
-        F.to_variant_object(
-            F.struct(F.lit(False).alias("success"), F.lit("invalid_json").alias("error"))
-        ),
-    ).otherwise(
-        F.to_variant_object(F.struct(F.lit(True).alias("success"), value.alias("output")))
-    )
+    return f"""CASE WHEN {value} IS NULL
+      THEN to_variant_object(named_struct('success', false, 'error', 'invalid_json'))
+      ELSE to_variant_object(named_struct('success', true, 'output', {value})) END"""
 
 
 def smoke_check(sample: DataFrame, scorers: Iterable[Scorer]) -> DataFrame:

@@ -16,11 +16,11 @@ def route(messages: DataFrame, plan_table: DataFrame) -> DataFrame:
     One left join serves both sides: rows with a null reason are to be run, the others
     are dead letters. No message is lost and none is read twice.
     """
-    problem = F.when(F.col("input").isNull(), F.col("problem_no_input")).otherwise(F.col("problem"))
-    unknown = F.when(F.col("steps").isNull(), UNKNOWN_PLAN)
+    reason = f"""coalesce(reason, CASE WHEN steps IS NULL THEN '{UNKNOWN_PLAN}' END,
+      CASE WHEN input IS NULL THEN problem_no_input ELSE problem END)"""
     return (
         messages.join(plan_table, "plan", "left")
-        .withColumn("reason", settled(F.coalesce(F.col("reason"), unknown, problem)))
+        .withColumn("reason", F.expr(settled(reason)))
         .drop("problem", "problem_no_input")
     )
 

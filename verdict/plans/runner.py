@@ -8,19 +8,13 @@ to one column, and the plan name picks the expression per row.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdict.functions import settled
+from verdict.functions import literal, settled
 from verdict.functions.variants import described, stored_text, strict_variant, without_bom
-from verdict.operators.records import (
-    broken_in_output,
-    check_answers,
-    coerce_label,
-    count_accepted,
-)
+from verdict.operators.records import broken_in_output, check_answers, coerce_label, count_accepted
 from verdict.operators.scoring import (
     MISSING_TEXT,
     VERDICT,
@@ -43,18 +37,20 @@ from verdict.plans.model import (
 from verdict.plans.steps import EchoStep, StoreStep
 
 
-def _result(position: int) -> Column:
-    return F.col("input") if position == INPUT_POSITION else F.col(f"_r{position}")
+def _result(position: int) -> str:
+    return "input" if position == INPUT_POSITION else f"_r{position}"
 
 
-def _text(binding: Binding) -> Column:
+def _text(binding: Binding) -> str:
     if binding.position is not None:
-        return F.to_json(_result(binding.position))
-    parts = [F.to_json(_result(p)) if isinstance(p, int) else F.lit(p) for p in binding.pieces]
-    return F.concat(*parts) if parts else F.lit("")
+        return f"to_json({_result(binding.position)})"
+    parts = [
+        f"to_json({_result(p)})" if isinstance(p, int) else literal(p) for p in binding.pieces
+    ]
+    return f"concat({', '.join(parts)})" if parts else "''"
 
 
-def _variant(binding: Binding) -> Column:
+def _variant(binding: Binding) -> str:
     if binding.position is not None:
         return _result(binding.position)
     return strict_variant(_text(binding))
@@ -75,33 +71,30 @@ class _Input:
             Binding(pieces=(DEFAULT_INPUT,)),
         )
 
-    def _either(self, render) -> Column:
+    def _either(self, render) -> str:
         if self.without is None or self.with_input == self.without:
             return render(self.with_input)
         if self.with_input is None:
             return render(self.without)
-        return F.when(F.col("input").isNotNull(), render(self.with_input)).otherwise(
-            render(self.without)
-        )
+        return f"if(input IS NOT NULL, {render(self.with_input)}, {render(self.without)})"
 
-    def text(self) -> Column:
+    def text(self) -> str:
         return self._either(_text)
 
-    def variant(self) -> Column:
-        return F.col("input") if self.is_default else self._either(_variant)
+    def variant(self) -> str:
+        return "input" if self.is_default else self._either(_variant)
 
 
-def _try_resolve(plan: Plan, registry: dict, has_input: bool):
-    try:
-        return resolve(plan, registry, has_input)
-    except PlanProblem:
-        return None
+def _bound(plan: Plan, registry: dict) -> list[list[_Input]] | None:
+    """The inputs per step, or None where no message of the plan can finish."""
 
+    def attempt(has_input):
+        try:
+            return resolve(plan, registry, has_input)
+        except PlanProblem:
+            return None
 
-def _inputs(plan: Plan, registry: dict) -> list[list[_Input]] | None:
-    """The inputs per step, or None where no message of the plan can finish."""
-    full = _try_resolve(plan, registry, True)
-    bare = _try_resolve(plan, registry, False)
+    full, bare = attempt(True), attempt(False)
     if full is None and bare is None:
         return None
     return [
@@ -119,7 +112,7 @@ class _Compiled:
     def __init__(self, plans: Iterable[Plan], registry: dict):
         self.plans = {p.name: p for p in plans}
         self.registry = registry
-        found = {name: _inputs(p, registry) for name, p in self.plans.items()}
+        found = {name: _bound(p, registry) for name, p in self.plans.items()}
         self.inputs = {name: i for name, i in found.items() if i is not None}
         self.live = list(self.inputs)
 
@@ -132,47 +125,46 @@ class _Compiled:
             if isinstance(self.registry[step.name], kind)
         ]
 
-    def active(self, names: Iterable[str]) -> Column:
+    def active(self, names: Iterable[str]) -> str:
         """Whether the row is a message to be run through one of these plans."""
-        mine = F.col("reason").isNull()
-        every = set(names) == set(self.live)
-        return mine if every else mine & F.col("plan").isin(sorted(names))
+        if set(names) == set(self.live):
+            return "reason IS NULL"
+        return f"(reason IS NULL AND plan IN ({', '.join(literal(n) for n in sorted(names))}))"
 
-    def by_plan(self, choices: dict[str, Column]) -> Column:
+    def by_plan(self, choices: dict[str, str]) -> str:
         """The choice of the row's plan, null for other plans."""
         if len(self.live) == 1:
             return next(iter(choices.values()))
-        return reduce(
-            lambda case, item: case.when(F.col("plan") == item[0], item[1]), choices.items(), F
-        )
+        cases = " ".join(f"WHEN {literal(n)} THEN {choice}" for n, choice in choices.items())
+        return f"CASE plan {cases} END"
 
 
-def _score_input(routed: DataFrame, compiled: _Compiled) -> tuple[DataFrame, list[str]]:
+def _score_input(routed: DataFrame, compiled: _Compiled) -> tuple[DataFrame, dict[str, str]]:
     """Run the classifiers of the message input, whatever their position in a plan.
 
     They come first and together: the input is opened once, each classifier runs once per
     message, and what they share, such as the lower-cased text, is computed once. Adds
-    ``_in``, ``_in_chosen`` and one ``_verdict_`` column per classifier.
+    ``_in``, ``_in_chosen`` and a verdict column per classifier, which is returned by name.
     """
     direct: dict[str, set[str]] = {}
     for n, k, step in compiled.steps(Scorer):
         if compiled.inputs[n][k][0].is_default:
             direct.setdefault(step.name, set()).add(n)
     if not direct:
-        return routed, []
-    df = open_input(routed, F.col("input"), "_in")
+        return routed, {}
     texts = {}
     for users in direct.values():
         texts.setdefault(frozenset(users), f"_text{len(texts)}")
-    df = df.withColumns(
+    df = open_input(routed, "input", "_in").withColumns(
         {
-            text: F.when(compiled.active(users), F.col("_in_chosen.text"))
+            text: F.expr(f"CASE WHEN {compiled.active(users)} THEN _in_chosen.text END")
             for users, text in texts.items()
         }
     )
+    verdicts = {name: f"_verdict{i}" for i, name in enumerate(direct)}
     for name, users in direct.items():
-        df = compiled.registry[name].add_verdict(df, texts[frozenset(users)], f"_verdict_{name}")
-    return df, list(direct)
+        df = compiled.registry[name].add_verdict(df, texts[frozenset(users)], verdicts[name])
+    return df, verdicts
 
 
 def run_plans(routed: DataFrame, plans: Iterable[Plan], registry: dict) -> DataFrame:
@@ -188,89 +180,97 @@ def run_plans(routed: DataFrame, plans: Iterable[Plan], registry: dict) -> DataF
     """
     compiled = _Compiled(plans, registry)
     plans, inputs, live = compiled.plans, compiled.inputs, compiled.live
-    active, by_plan = compiled.active, compiled.by_plan
 
-    df, direct = _score_input(routed, compiled)
-    for name in direct:
-        answer = build_answer(
-            name, F.col("input"), F.col("_in"), F.col("_in_chosen"), F.col(f"_verdict_{name}")
+    df, verdicts = _score_input(routed, compiled)
+    direct = {name: f"_direct{i}" for i, name in enumerate(verdicts)}
+    if direct:
+        df = df.withColumns(
+            {
+                direct[name]: F.expr(build_answer(name, "input", "_in", "_in_chosen", verdict))
+                for name, verdict in verdicts.items()
+            }
         )
-        df = df.withColumn(f"_direct_{name}", answer)
 
     for k in range(max((len(plans[n].steps) for n in live), default=0)):
         at_k: dict[str, list[str]] = {}
         for n in live:
             if k < len(plans[n].steps):
                 at_k.setdefault(plans[n].steps[k].name, []).append(n)
-        outputs: dict[str, Column] = {}
+        outputs: dict[str, str] = {}
         for j, (name, users) in enumerate(at_k.items()):
             step = registry[name]
             if isinstance(step, Scorer):
                 relayed = [n for n in users if not inputs[n][k][0].is_default]
-                outputs |= {n: F.col(f"_direct_{name}") for n in users if n not in relayed}
+                outputs |= {n: direct[name] for n in users if n not in relayed}
                 if relayed:
                     at = f"_at{k}_{j}"
-                    first = by_plan({n: inputs[n][k][0].variant() for n in relayed})
-                    df = df.withColumn(f"{at}_value", F.when(active(relayed), first))
-                    df = open_input(df, F.col(f"{at}_value"), at)
+                    first = compiled.by_plan({n: inputs[n][k][0].variant() for n in relayed})
+                    value = f"CASE WHEN {compiled.active(relayed)} THEN {first} END"
+                    df = df.withColumn(f"{at}_value", F.expr(value))
+                    df = open_input(df, f"{at}_value", at)
                     df = df.withColumn(f"{at}_text", F.col(f"{at}_chosen.text"))
                     df = step.add_verdict(df, f"{at}_text", f"{at}_verdict")
                     answer = build_answer(
-                        name,
-                        F.col(f"{at}_value"),
-                        F.col(at),
-                        F.col(f"{at}_chosen"),
-                        F.col(f"{at}_verdict"),
+                        name, f"{at}_value", at, f"{at}_chosen", f"{at}_verdict"
                     )
-                    df = df.withColumn(f"{at}_answer", answer)
-                    outputs |= {n: F.col(f"{at}_answer") for n in relayed}
+                    df = df.withColumn(f"{at}_answer", F.expr(answer))
+                    outputs |= {n: f"{at}_answer" for n in relayed}
             elif isinstance(step, EchoStep):
-                outputs |= {n: echo_answer(inputs[n][k][0].variant()) for n in users}
+                # The value is a column of its own first, as the answer looks at it twice.
+                value = compiled.by_plan({n: inputs[n][k][0].variant() for n in users})
+                df = df.withColumn(f"_echo{k}_{j}", F.expr(value))
+                outputs |= {n: echo_answer(f"_echo{k}_{j}") for n in users}
             elif isinstance(step, StoreStep):
                 outputs |= {n: _summary([a.variant() for a in inputs[n][k]]) for n in users}
             else:
                 raise TypeError(f"step {name} is of no known type")
-        df = df.withColumn(f"_r{k}", by_plan(outputs))
+        df = df.withColumn(f"_r{k}", F.expr(compiled.by_plan(outputs)))
 
     answers, results, bound = {}, {}, {}
     for name in live:
         steps = plans[name].steps
         stored = [
-            arg.variant()
-            for _, k, _ in compiled.steps(StoreStep, name)
-            for arg in inputs[name][k]
+            arg.variant() for _, k, _ in compiled.steps(StoreStep, name) for arg in inputs[name][k]
         ]
-        answers[name] = F.array(*stored) if stored else F.array().cast("array<variant>")
+        answers[name] = f"CAST(array({', '.join(stored)}) AS array<variant>)"
         last = {DEFAULT_INPUT: INPUT_POSITION} | {step.name: k for k, step in enumerate(steps)}
-        entries = [x for key, p in last.items() for x in (F.lit(key), F.to_json(_result(p)))]
-        results[name] = F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
-        bound[name] = F.array(
-            *[
-                F.struct(
-                    F.lit(k).alias("position"),
-                    F.lit(step.name).alias("step"),
-                    F.array(*[a.text() for a in inputs[name][k]]).cast("array<string>").alias("inputs"),
-                )
-                for k, step in enumerate(steps)
-            ]
+        entries = ", ".join(f"{literal(key)}, to_json({_result(p)})" for key, p in last.items())
+        results[name] = f"map_filter(map({entries}), (k, v) -> v IS NOT NULL)"
+        texts = [", ".join(a.text() for a in inputs[name][k]) for k in range(len(steps))]
+        rows = ", ".join(
+            f"named_struct('position', {k}, 'step', {literal(step.name)}, "
+            f"'inputs', CAST(array({texts[k]}) AS array<string>))"
+            for k, step in enumerate(steps)
         )
-    added = {"answers": answers, "results": results, "bound": bound}
-    types = {
-        "answers": "array<variant>",
-        "results": "map<string,string>",
-        "bound": "array<struct<position:int,step:string,inputs:array<string>>>",
+        bound[name] = f"array({rows})"
+    added = {
+        "answers": ("array<variant>", answers),
+        "results": ("map<string,string>", results),
+        "bound": ("array<struct<position:int,step:string,inputs:array<string>>>", bound),
     }
+
+    def finished(kind, choices):
+        if not live:
+            return f"CAST(NULL AS {kind})"
+        return settled(f"CASE WHEN reason IS NULL THEN {compiled.by_plan(choices)} END")
+
     return df.select(
         *routed.columns,
-        *[
-            settled(
-                F.when(F.col("reason").isNull(), by_plan(c)) if live else F.lit(None).cast(types[a])
-            ).alias(a)
-            for a, c in added.items()
-        ],
+        *[F.expr(finished(*how)).alias(column) for column, how in added.items()],
     )
 
 
+def _summary(answers: list[str]) -> str:
+    """Result of a store step: how many of its inputs are accepted."""
+    kept = count_accepted(f"array({', '.join(answers)})")
+    return f"to_variant_object(named_struct('success', true, 'inserted_records', {kept}))"
+
+
+def bind_inputs(run: DataFrame, *carry: str) -> DataFrame:
+    """One row per executed step with its inputs as they were bound, in listed order."""
+    return run.select(*carry, F.inline("bound"))
+
+
 def stored_answers(
     routed: DataFrame, plans: Iterable[Plan], registry: dict, carry: Iterable[str] = ()
 ) -> DataFrame:
@@ -302,8 +302,7 @@ def _stored_scorers(compiled: _Compiled) -> dict[str, list[str]] | None:
     for name in compiled.live:
         stored[name] = []
         for _, k, _ in compiled.steps(StoreStep, name):
-            for i, text in enumerate(compiled.plans[name].steps[k].inputs):
-                bound = compiled.inputs[name][k][i]
+            for bound in compiled.inputs[name][k]:
                 source = bound.with_input.position if bound.with_input else None
                 if source is None or source < 0 or bound.without not in (None, bound.with_input):
                     return None
@@ -323,90 +322,70 @@ def _direct_answers(
     into again: the fields taken from the message are cleaned and checked once per
     message, and what differs per classifier is a name and a flag.
     """
-    df, names = _score_input(routed, compiled)
-    verdicts = [F.col(f"_verdict_{name}") for name in names]
-    value, opened, chosen = F.col("input"), F.col("_in"), F.col("_in_chosen")
+    df, verdicts = _score_input(routed, compiled)
     df = df.withColumns(
         {
-            "_id": without_bom(described(opened["id"])),
-            "_label": without_bom(described(opened["label"])),
-            "_content": without_bom(chosen),
-            "_error": input_error(value, chosen),
+            "_id": F.expr(described("_in.id")),
+            "_label": F.expr(described("_in.label")),
+            "_error": F.expr(input_error("input", "_in_chosen")),
         }
     )
-    ident, label, content = F.col("_id"), F.col("_label"), F.col("_content")
-    df = df.withColumn(
-        "_broken",
-        F.when(F.col("_error").isNotNull(), "bad_flag").otherwise(
-            broken_in_output(ident, content, label)
-        ),
+    # Both candidates for the text may hold U+FEFF, and dropping it may leave nothing.
+    df = df.withColumns(
+        {
+            "_id": F.expr(without_bom("_id")),
+            "_label": F.expr(without_bom("_label")),
+            "_content": F.expr(without_bom("_in_chosen")),
+        }
     )
+    broken = f"""CASE WHEN _error IS NOT NULL THEN 'bad_flag'
+      ELSE {broken_in_output("_id", "_content", "_label")} END"""
+    df = df.withColumn("_broken", F.expr(broken))
     # The part of the answer a reject is reported with; not built for clean messages.
-    unclean = reduce(
-        lambda x, v: x | verdict_error(v).isNotNull(), verdicts, F.col("_broken").isNotNull()
+    unclean = " OR ".join(
+        ["_broken IS NOT NULL", *[f"{verdict_error(v)} IS NOT NULL" for v in verdicts.values()]]
     )
-    output = F.when(F.col("_error") == MISSING_TEXT, value).when(
-        F.col("_error").isNull(), echoed(opened, chosen)
-    )
-    rows = {
-        plan: F.array(
-            *[
-                F.struct(F.lit(name).alias("model"), F.col(f"_verdict_{name}").alias("verdict"))
-                for name in scorers
-            ]
+    output = f"""CASE WHEN NOT ({unclean}) THEN NULL WHEN _error = '{MISSING_TEXT}' THEN input
+      WHEN _error IS NULL THEN {echoed("_in", "_in_chosen")} END"""
+
+    def rows(scorers):
+        entries = ", ".join(
+            f"named_struct('model', {literal(n)}, 'verdict', {verdicts[n]})" for n in scorers
         )
-        if scorers
-        else F.array().cast(f"array<struct<model:string,verdict:{VERDICT.simpleString()}>>")
-        for plan, scorers in stored.items()
-    }
+        row = f"struct<model:string,verdict:{VERDICT.simpleString()}>"
+        return f"CAST(array({entries}) AS array<{row}>)"
+
+    every = compiled.by_plan({plan: rows(scorers) for plan, scorers in stored.items()})
     flat = df.select(
         "plan",
         "reason",
         *carry,
-        stored_text(ident).alias("record_id"),
-        stored_text(content).alias("comment"),
-        coerce_label(label).alias("label"),
+        F.expr(stored_text("_id")).alias("record_id"),
+        F.expr(stored_text("_content")).alias("comment"),
+        F.expr(coerce_label("_label")).alias("label"),
         "_error",
         "_broken",
-        F.when(unclean, output).alias("_output"),
-        F.posexplode_outer(
-            F.when(F.col("reason").isNull(), compiled.by_plan(rows))
-        ).alias("_nth", "_row"),
-    ).withColumn("_failed", F.coalesce("_error", verdict_error(F.col("_row.verdict"))))
-    failed = F.col("_failed")
-    answer = F.struct(
-        failed.alias("error"),
-        F.when(failed.isNull(), F.col("_row.verdict.flagged")).alias("is_hate_speech"),
-        F.col("_row.model").alias("model"),
-        F.when(failed.isNull() | (failed == MISSING_TEXT), F.col("_output")).alias("output"),
-        failed.isNull().alias("success"),
-    )
-    return flat.select(
+        F.expr(output).alias("_output"),
+        F.posexplode_outer(F.expr(f"CASE WHEN reason IS NULL THEN {every} END")).alias(
+            "_nth", "_row"
+        ),
+    ).withColumn("_failed", F.expr(f"coalesce(_error, {verdict_error('_row.verdict')})"))
+    answer = f"""named_struct('error', _failed,
+      'is_hate_speech', CASE WHEN _failed IS NULL THEN _row.verdict.flagged END,
+      'model', _row.model,
+      'output', CASE WHEN _failed IS NULL OR _failed = '{MISSING_TEXT}' THEN _output END,
+      'success', _failed IS NULL)"""
+    return flat.selectExpr(
         "plan",
         "reason",
         *carry,
         "_nth",
-        F.when(failed.isNotNull(), "bad_flag").otherwise(F.col("_broken")).alias("reject"),
-        F.to_json(answer).alias("answer_json"),
+        "CASE WHEN _failed IS NOT NULL THEN 'bad_flag' ELSE _broken END AS reject",
+        f"to_json({answer}) AS answer_json",
         "record_id",
         "comment",
         "label",
-        F.col("_row.model").alias("model"),
-        F.col("_row.verdict.flagged").alias("flagged"),
-        F.lit(None).cast("string").alias("input_ts"),
+        "_row.model AS model",
+        "_row.verdict.flagged AS flagged",
+        "CAST(NULL AS STRING) AS input_ts",
     )
-
-
-def _summary(answers: list[Column]) -> Column:
-    """Result of a store step: how many of its inputs are accepted."""
-    return F.to_variant_object(
-        F.struct(
-            F.lit(True).alias("success"),
-            count_accepted(F.array(*answers)).alias("inserted_records"),
-        )
-    )
-
-
-def bind_inputs(run: DataFrame, *carry: str) -> DataFrame:
-    """One row per executed step with its inputs as they were bound, in listed order."""
-    return run.select(*carry, F.inline("bound"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
@@ -28,3 +28,25 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.gettempdir() + "/verdict-scratch"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input over all cores.
+
+    A file of one row group is one task, however many cores there are. Only an input with
+    fewer partitions than cores is redistributed, evenly and without a key; a larger one
+    is returned as it is and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+MAX_BROADCAST_ROWS = 500_000
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a table of short, fixed-width rows is small enough to copy to every executor.
+
+    Half a million rows of a few numbers are some 16 MB. Counting them reads no column.
+    """
+    return df.count() <= MAX_BROADCAST_ROWS
