@@ -241,8 +241,7 @@ def sanitize_json(spark, sf_dir):
 
 
 def _checked(spark, sf_dir):
-    parsed = records.parse_answers(given.answers(spark, sf_dir), "answer_text")
-    return records.check_answers(parsed)
+    return records.check_answer_texts(given.answers(spark, sf_dir), "answer_text")
 
 
 @query
@@ -280,8 +279,9 @@ def coerce_label(spark, sf_dir):
         F.struct("id", "comment", given.label_text().alias("label")).alias("output"),
     )
     sent = rows.select(F.to_json(answer).alias("answer_text"))
-    checked = records.check_answers(records.parse_answers(sent, "answer_text"))
-    return records.accepted(checked).select("record_id", "label")
+    return records.accepted(records.check_answer_texts(sent, "answer_text")).select(
+        "record_id", "label"
+    )
 
 
 @query

@@ -81,19 +81,18 @@ def _described_output(record: str) -> str:
     return f"named_struct({fields})"
 
 
-def _cleaned(record: str, output: str) -> str:
-    """The fields that are stored, without U+FEFF, and the content chosen among them."""
+def _cleaned(record: str, output: str, drop_bom: bool = True) -> str:
+    """The fields that are stored, and the content chosen among them."""
 
     def clean(seen):
-        return without_bom(seen)
+        return without_bom(seen) if drop_bom else seen
 
-    text = f"replace({output}.text.text, '\\ufeff', '')"
-    no_text = is_falsy(f"named_struct('kind', {output}.text.kind, 'text', {text})")
+    content = f"""if({is_falsy(clean(f"{output}.text"))},
+      {clean(f"{output}.comment")}, {clean(f"{output}.text")})"""
     return f"""named_struct('model', {clean(f"{record}.model")},
       'output', {clean(f"{record}.output")},
       'id', {clean(f"{output}.id")},
-      'content', CASE WHEN {no_text} THEN {clean(f"{output}.comment")}
-        ELSE {clean(f"{output}.text")} END,
+      'content', {content},
       'label', {clean(f"{output}.label")},
       'timestamp', {clean(f"{output}.timestamp")})"""
 
@@ -132,11 +131,21 @@ def count_accepted(answers: str) -> str:
       c -> {_first_broken("c.record", "c.cleaned")} IS NULL))"""
 
 
-def check_answers(answers: DataFrame, answer: str = "answer") -> DataFrame:
+def check_answer_texts(answers: DataFrame, text: str) -> DataFrame:
+    """``check_answers`` for answers that come as JSON text.
+
+    Their text is cleaned before it is parsed, so a U+FEFF that was escaped stays.
+    """
+    parsed = parse_answers(answers, text, "_answer")
+    return check_answers(parsed, "_answer", drop_bom=False).drop("_answer")
+
+
+def check_answers(answers: DataFrame, answer: str = "answer", drop_bom: bool = True) -> DataFrame:
     """Add the result columns and ``reject``, the first broken rule or null.
 
-    ``answer`` is a VARIANT that is null for text that was not JSON. Nothing is dropped
-    and nothing is shuffled; callers split on ``reject``.
+    ``answer`` is a VARIANT that is null for text that was not JSON. U+FEFF is dropped
+    from its fields. Nothing else is dropped and nothing is shuffled; callers split on
+    ``reject``.
     """
     time = "_cleaned.timestamp"
     columns = {
@@ -152,7 +161,7 @@ def check_answers(answers: DataFrame, answer: str = "answer") -> DataFrame:
         answers.withColumn("_opened", F.expr(_opened(answer)))
         .withColumn("_record", F.expr(_looked_inside("_opened")))
         .withColumn("_output", F.expr(_described_output("_record")))
-        .withColumn("_cleaned", F.expr(_cleaned("_record", "_output")))
+        .withColumn("_cleaned", F.expr(_cleaned("_record", "_output", drop_bom)))
         .withColumns({name: F.expr(rule) for name, rule in columns.items()})
         .drop("_opened", "_record", "_output", "_cleaned")
     )
