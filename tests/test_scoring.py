@@ -115,6 +115,24 @@ def test_smoke_gate(spark):
         require_smoke(sample.filter("id = '9'"), [good])
 
 
+def test_plans_wait_for_the_gate(spark):
+    sample = labelled(spark, [("1", "idiot", 1.0), ("2", "fine", 0.0)])
+    exact = F.col("flagged") == (F.col("label") >= 0.5)
+    strict = ColumnScorer("s", flag=lexicon(["idiot"]), check=exact, require_check=True)
+    plans = [plan("P", ("s", ["default_input"]), ("store", ["s"]))]
+    body = F.to_json(F.struct(F.lit("P").alias("plan"), F.struct("id", "comment").alias("input")))
+    messages = texts(spark).select(body.alias("value"))
+    known = registry(strict, StoreStep("store"))
+    assert score_messages(messages, plans, known, sample=sample).count() == len(TEXTS)
+    with pytest.raises(ValueError):
+        score_messages(messages, plans, known)
+    with pytest.raises(RuntimeError):
+        worse = registry(replace(strict, flag=lexicon(["fine"])), StoreStep("store"))
+        score_messages(messages, plans, worse, sample=sample)
+    # A classifier no plan uses is not checked.
+    score_messages(messages, plans, known | {"t": replace(strict, name="t")}, sample=sample)
+
+
 def test_correctness_cells(spark):
     rows = [(1.0, True), (0.5, True), (1.0, False), (0.4, True), (0.0, False), (None, True)]
     df = spark.createDataFrame(rows, "label double, flagged boolean")

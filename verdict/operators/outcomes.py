@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from verdict.functions import settled
 from verdict.operators.envelope import decode_messages
 from verdict.operators.records import RESULT_COLUMNS
+from verdict.operators.scoring import Scorer, require_smoke
 from verdict.plans.model import Plan, plan_table
 from verdict.plans.routing import route
 from verdict.plans.runner import stored_answers
@@ -29,7 +30,28 @@ def route_messages(
     )
 
 
+def require_checks(
+    plans: Iterable[Plan], registry: dict, sample: DataFrame | None = None
+) -> None:
+    """Run the required checks of all classifiers the plans use, before any data."""
+    used = {step.name for p in plans for step in p.steps}
+    require_smoke(sample, [s for n, s in registry.items() if n in used and isinstance(s, Scorer)])
+
+
 def score_messages(
+    messages: DataFrame,
+    plans: Iterable[Plan],
+    registry: dict,
+    body: str = "value",
+    sample: DataFrame | None = None,
+) -> DataFrame:
+    """Check the classifiers that require it on ``sample``, then see ``score_unchecked``."""
+    plans = list(plans)
+    require_checks(plans, registry, sample)
+    return score_unchecked(messages, plans, registry, body)
+
+
+def score_unchecked(
     messages: DataFrame, plans: Iterable[Plan], registry: dict, body: str = "value"
 ) -> DataFrame:
     """Every message to one row per stored answer, or to one row where there is none.

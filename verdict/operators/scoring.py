@@ -288,11 +288,13 @@ def smoke_check(sample: DataFrame, scorers: Iterable[Scorer]) -> DataFrame:
     return base.select(F.inline(F.array(*rows)))
 
 
-def require_smoke(sample: DataFrame, scorers: Iterable[Scorer]) -> None:
+def require_smoke(sample: DataFrame | None, scorers: Iterable[Scorer]) -> None:
     """Raise when a scorer that requires its check does not pass it."""
-    needed = [s for s in scorers if s.require_check]
+    needed = [s for s in scorers if s.require_check and s.check is not None]
     if not needed:
         return
+    if sample is None:
+        raise ValueError(f"no sample to check {', '.join(s.name for s in needed)} on")
     # One row per scorer, however large the sample.
     failed = [r["model"] for r in smoke_check(sample, needed).filter(~F.col("passed")).collect()]
     if failed:
