@@ -185,6 +185,20 @@ FROM mixed WHERE reason IS NULL AND plan = 'Echo'
 UNION ALL SELECT 'dead', TRUE, plan, reason, {_NO_RESULT}
 FROM mixed WHERE reason IS NOT NULL"""
 
+ORACLES["reported_rejects"] = f"""WITH {MIXED}
+SELECT plan, 'missing_model' AS reason, '{{"error":"invalid_json","success":false}}' AS answer
+FROM mixed WHERE reason IS NULL AND plan = 'Mixed'"""
+
+ORACLES["reported_dead_messages"] = ORACLES["dead_letter_rows"]
+
+ORACLES["outcome_counts"] = f"""WITH {MIXED}
+SELECT plan, COUNT(*) FILTER (reason IS NULL) AS completed,
+  COUNT(*) FILTER (reason IS NOT NULL) AS failed,
+  CAST(SUM(CASE WHEN reason IS NOT NULL THEN 0 WHEN plan = 'AB' THEN 2 WHEN plan = 'Mixed' THEN 1
+    ELSE 0 END) AS BIGINT) AS stored,
+  COUNT(*) FILTER (reason IS NULL AND plan = 'Mixed') AS rejected
+FROM mixed GROUP BY plan"""
+
 ORACLES["sanitize_json"] = """
 SELECT event_id, CASE WHEN event_id % 5 IN (0, 1, 4)
   THEN '{"k":' || json_extract_string(props, '$.k') || '}' END AS clean

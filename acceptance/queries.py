@@ -12,7 +12,7 @@ from acceptance import inputs as given
 from verdict.functions.text import reply_is_yes
 from verdict.functions.variants import with_strict_variant
 from verdict.operators import records
-from verdict.operators.envelope import decode_messages, encode_messages
+from verdict.operators.envelope import decode_messages
 from verdict.operators.evaluate import accuracy_by_model as accuracy
 from verdict.operators.evaluate import row_correctness as correctness
 from verdict.operators.evaluate import score_labelled
@@ -30,7 +30,7 @@ from verdict.operators.scoring import (
     score_corpus,
     smoke_check,
 )
-from verdict.plans.model import plan_table, step_table
+from verdict.plans.model import step_table
 from verdict.plans.routing import dead_letters, expand_steps, message_outcomes, runnable, unknown_steps
 from verdict.plans.runner import bind_inputs, run_plans
 from verdict.session import prepare_session, scratch_dir
@@ -220,11 +220,32 @@ def message_outcome(spark, sf_dir):
 @query
 def mixed_plan_outcomes(spark, sf_dir):
     """Outcome rows of all plans together, without the bodies."""
-    return score_messages(given.mixed_messages(spark, sf_dir), given.PLANS, given.steps()).select(
+    return _mixed_outcomes(spark, sf_dir).select(
         "kind", "first", "plan", "reason", "record_id", "label", "model", "flagged"
     )
 
 
+def _mixed_outcomes(spark, sf_dir):
+    return score_messages(given.mixed_messages(spark, sf_dir), given.PLANS, given.steps())
+
+
+@query
+def reported_rejects(spark, sf_dir):
+    """Rejected answers of all plans with their reason."""
+    return rejects(_mixed_outcomes(spark, sf_dir))
+
+
+@query
+def reported_dead_messages(spark, sf_dir):
+    return dead_messages(_mixed_outcomes(spark, sf_dir))
+
+
+@query
+def outcome_counts(spark, sf_dir):
+    """Messages completed and failed, rows stored and rejected, by plan."""
+    return count_outcomes(_mixed_outcomes(spark, sf_dir), by=["plan"])
+
+
 @query
 def sanitize_json(spark, sf_dir):
     """Event properties with dirt around them, written out again."""

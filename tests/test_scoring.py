@@ -17,7 +17,6 @@ from verdict.operators.scoring import (
     ModelScorer,
     PandasScorer,
     lexicon,
-    pandas_lexicon,
     registry,
     require_smoke,
     score_corpus,

@@ -30,15 +30,16 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(read: DataFrame) -> DataFrame:
     """Rows of a small input over all cores.
 
     A file of one row group is one task, however many cores there are. Only an input with
     fewer partitions than cores is redistributed, evenly and without a key; a larger one
-    is returned as it is and not shuffled.
+    is returned as it is and not shuffled. To be called on a plain read: its partitions
+    are known without running anything.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = read.sparkSession.sparkContext.defaultParallelism
+    return read.repartition(cores) if read.rdd.getNumPartitions() < cores else read
 
 
 MAX_BROADCAST_ROWS = 500_000
