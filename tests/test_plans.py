@@ -301,3 +301,15 @@ def test_classifier_fed_by_an_earlier_step(spark):
     rows = score_messages(bodies(spark, [{"plan": "Fed", "input": {"id": "1", "text": "x"}}]), fed, steps()).collect()
     got = sorted((r["kind"], r["reason"], r["record_id"], r["model"], r["flagged"]) for r in rows)
     assert got == [("accepted", None, "7", "lexicon_a", True), ("rejected", "bad_flag", None, None, None)]
+
+
+def test_a_plan_may_only_run_without_an_input(spark):
+    plans = [plan("T", ("echo", ["{default_input} {"]), ("store", ["echo"]))]
+    messages = bodies(spark, [{"plan": "T", "input": 1}, {"plan": "T"}])
+    run = run_plans(route_messages(messages, plans, steps()), plans, steps())
+    got = {r["reason"]: r["results"] for r in run.collect()}
+    assert got["bad_template"] is None
+    assert set(got[None]) == {"echo", "store"}
+    assert json.loads(got[None]["store"]) == {"success": True, "inserted_records": 0}
+    kinds = sorted(r["kind"] for r in score_messages(messages, plans, steps()).collect())
+    assert kinds == ["dead", "rejected"]
