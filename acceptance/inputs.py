@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from verdict.operators.envelope import encode_messages
 from verdict.operators.scoring import ColumnScorer, PandasScorer, lexicon, pandas_lexicon, registry
-from verdict.plans.model import plan
+from verdict.plans.model import Plan, plan, read_plans
 from verdict.plans.steps import EchoStep, StoreStep
-from verdict.session import spread
+from verdict.session import scratch_dir, spread
 from verdict.sources.corpus import labelled_documents
 
 WORDS_A = ("idiot", "moron", "scum", "trash", "clown", "worthless")
@@ -59,6 +59,17 @@ PLANS = (
 )
 
 
+def plans_from_files(spark: SparkSession) -> list[Plan]:
+    """The plans, written to one file each and read back."""
+    where = scratch_dir(spark, "plans")
+    rows = [
+        (p.name, [{"name": s.name, "inputs": list(s.inputs)} for s in p.steps]) for p in PLANS
+    ]
+    schema = "name string, steps array<struct<name: string, inputs: array<string>>>"
+    spark.createDataFrame(rows, schema).write.option("maxRecordsPerFile", 1).json(where)
+    return read_plans(spark, where)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

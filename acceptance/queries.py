@@ -180,7 +180,10 @@ def dead_letter_counts(spark, sf_dir):
 
 @query
 def expanded_steps(spark, sf_dir):
-    return expand_steps(runnable(_routed(spark, sf_dir))).select(
+    """One row per step to run, of plans that were read from files."""
+    plans = given.plans_from_files(spark)
+    routed = route_messages(given.mixed_messages(spark, sf_dir), plans, given.steps())
+    return expand_steps(runnable(routed)).select(
         _input_id(), "plan", "position", "step", F.array_join("inputs", "|").alias("inputs")
     )
 
