@@ -14,6 +14,7 @@ distinct words between white space; frequent words are remembered.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -33,8 +34,8 @@ BUCKETS = 1 << 16
 DIMENSIONS = 3
 GRID_BITS = 10
 #: Characters worked on at once inside a task, and words a worker remembers.
-CHUNK = 4_000_000
-REMEMBERED = 150_000
+CHUNK = 8_000_000
+REMEMBERED = 250_000
 
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,!?;:|&*#$%()-]*)")
 #: Python takes these for white space, the vocabulary does not.
@@ -131,7 +132,14 @@ class Encoder:
         flat = np.empty(int(sizes.sum()), dtype=object)
         flat[:] = [w for ws in words for w in ws]
         codes, kinds = pd.factorize(flat)
-        entries = self.look_up(list(kinds))
+        # Millions of short-lived tuples, none in a cycle: the cycle collector would only walk them.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            entries = self.look_up(list(kinds))
+        finally:
+            if collecting:
+                gc.enable()
         pool = np.frombuffer(b"".join(e[0] for e in entries), np.uint16)
         lengths = np.fromiter((len(e[0]) // 2 for e in entries), np.int64, len(entries))
         begin = np.cumsum(lengths) - lengths
