@@ -13,7 +13,7 @@ from verdict.operators.envelope import encode_messages
 from verdict.operators.scoring import ColumnScorer, PandasScorer, lexicon, pandas_lexicon, registry
 from verdict.plans.model import Plan, plan, read_plans
 from verdict.plans.steps import EchoStep, StoreStep
-from verdict.session import scratch_dir, spread
+from verdict.session import scratch_dir
 from verdict.sources.corpus import labelled_documents
 
 WORDS_A = ("idiot", "moron", "scum", "trash", "clown", "worthless")
@@ -75,17 +75,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return labelled_documents(documents, table(spark, sf_dir, "labels"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "events").select("event_id", "props"))
+    return table(spark, sf_dir, "events").select("event_id", "props")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second corpus, without labels."""
-    return spread(table(spark, sf_dir, "conversations")).select(
+    return table(spark, sf_dir, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("id"),
         F.col("text").alias("comment"),
         F.lit(None).cast("double").alias("label"),

@@ -215,9 +215,8 @@ def plan_results(spark, sf_dir):
 
 @query
 def message_outcome(spark, sf_dir):
-    return message_outcomes(_routed(spark, sf_dir).filter(F.col("input").isNotNull())).select(
-        _input_id(), "plan", "completed"
-    )
+    """Whether each message ran through; those that cannot be read have no id."""
+    return message_outcomes(_routed(spark, sf_dir)).select(_input_id(), "plan", "completed")
 
 
 @query

@@ -71,7 +71,7 @@ def test_texts_are_scored_once(physical, name):
 def test_bodies_are_parsed_once(physical, name):
     """The parser is named three times: the value, and the two forms of a text that holds
     the mark itself."""
-    assert physical(name).count("parseJson(") == 3
+    assert physical(name).count("from_json(VariantType") == 3
 
 
 def test_scans_read_what_is_needed(physical):

@@ -9,7 +9,6 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from acceptance import inputs as given
-from verdict.operators import evaluate
 from verdict.operators.evaluate import accuracy_by_model, row_correctness, score_labelled
 from verdict.operators.outcomes import score_messages
 from verdict.operators.scoring import (
@@ -24,7 +23,6 @@ from verdict.operators.scoring import (
 )
 from verdict.plans.model import plan
 from verdict.plans.steps import StoreStep
-from verdict.session import spread
 
 TEXTS = ["Idiot!", "idiots", "an IDIOT", "midiot", "clownè", "éclown", "", None, "fine", "moron\nclown", "x" * 70000 + " scum"]
 
@@ -154,11 +152,10 @@ def test_all_cells_are_reached_with_a_common_word(spark, sf_dir):
     assert len(cells) == 4
 
 
-def test_small_and_large_label_tables_agree(spark, sf_dir, monkeypatch):
+def test_labels_join_flags_not_texts(spark, sf_dir):
     docs = given.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("comment"))
     labels = given.table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("double").alias("label"))
     small = score_labelled(docs, labels, given.scorers(), "doc_id").collect()
-    monkeypatch.setattr(evaluate, "is_small", lambda _: False)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         scored = score_labelled(docs, labels, given.scorers(), "doc_id")
@@ -170,10 +167,23 @@ def test_small_and_large_label_tables_agree(spark, sf_dir, monkeypatch):
     # Texts are read and scored, but what is shuffled for the join has no text.
     exchanges = [line for line in tree.splitlines() if "Exchange" in line]
     assert exchanges and "SortMergeJoin" in tree
-
-
-def test_only_small_inputs_are_spread(spark):
-    cores = spark.sparkContext.defaultParallelism
-    many = spark.range(100, numPartitions=cores)
-    assert spread(many) is many
-    assert spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == cores
+    assert not any("comment" in line for line in exchanges)
+
+
+def test_pandas_answers_are_booleans_or_nothing(spark):
+    answers = {"a": True, "b": 0, "c": None, "d": float("nan"), "e": "NO", "f": 2}
+    calls = spark.sparkContext.accumulator(0)
+
+    def classify(texts):
+        calls.add(1)
+        if (texts == "g").any():
+            raise KeyError("g")
+        return texts.map(answers)
+
+    rows = spark.createDataFrame([(c,) for c in "abcdefg"] + [("a",)] * 57, "text string").coalesce(1)
+    scored = PandasScorer("p", flag=classify).add_verdict(rows, "text", "v").select("text", "v.*").distinct().collect()
+    assert {(r["text"], r["flagged"], r["error"]) for r in scored} == {
+        ("a", True, None), ("b", False, None), ("c", None, None), ("d", None, None),
+        ("e", None, "ValueError"), ("f", None, "ValueError"), ("g", None, "KeyError"),
+    }
+    assert calls.value <= 2 * 7 + 1  # halves, not one text at a time

@@ -93,8 +93,8 @@ def test_results_table(spark, tmp_path):
     assert dict(stored.dtypes)["stored_at"] == "timestamp"
     first = stored.filter("flagged").first()
     assert (first["model"], first["record_id"], first["label"]) == ("m", "1", 1.0)
-    ids = stored.select("result_id").distinct().count()
-    assert ids == 2  # unique within each write
+    assert stored.select("write_id", "result_id").distinct().count() == 4
+    assert stored.select("write_id").distinct().count() == 2
     late = stored.filter(
         "stored_at > current_timestamp() OR stored_at < current_timestamp() - INTERVAL 1 HOUR "
         "OR stored_at <> date_trunc('second', stored_at)"

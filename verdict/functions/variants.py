@@ -17,14 +17,24 @@ from pyspark.sql import functions as F
 _END = "271828182845.90452353"
 
 
+# NaN and Infinity are not JSON. The parser's own limits are lower: strings of 20 million characters
+# and 1,000 levels.
+_LIMITS = "map('allowNonNumericNumbers', 'false', 'maxStringLen', '1000000000', 'maxNestingDepth', '10000')"
+
+
+def _parsed(text: str) -> str:
+    return f"from_json({text}, 'variant', {_LIMITS})"
+
+
 def _parse_pair(text: str) -> str:
     # Only a text that holds the digits itself needs the two-sided test: after the first
     # value the array form admits "," "]" or the end, the object form "," "}" or the end,
     # and a "," satisfies the object form only with a key that breaks the array form.
-    return f"""try_parse_json(CASE WHEN NOT contains({text}, '{_END}')
-        OR (try_parse_json('[' || {text} || ']') IS NOT NULL
-          AND try_parse_json('{{"w":' || {text} || '}}') IS NOT NULL)
-      THEN '[' || {text} || '\\n,{_END}]' END)"""
+    paired = f"""CASE WHEN NOT contains({text}, '{_END}')
+        OR ({_parsed(f"'[' || {text} || ']'")} IS NOT NULL
+          AND {_parsed(f"""'{{"w":' || {text} || '}}'""")} IS NOT NULL)
+      THEN '[' || {text} || '\\n,{_END}]' END"""
+    return _parsed(paired)
 
 
 def _only_value(pair: str) -> str:

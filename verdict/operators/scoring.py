@@ -7,9 +7,11 @@ lands in the row.
 
 from __future__ import annotations
 
+import numbers
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,8 +66,10 @@ class ColumnScorer(Scorer):
 class PandasScorer(Scorer):
     """Any Python model: a function from a Series of texts to a Series of booleans.
 
-    Only the text column travels to Python. When a batch fails, its texts are tried one
-    at a time, so that an error stays with the text that caused it.
+    Only the text column travels to Python. Answers are booleans, 0 or 1, and null or NaN for
+    no verdict; any other is an error of its text. When a batch fails, its halves are tried, and
+    theirs, so that an error stays with the text that caused it, at a cost of two calls for
+    each halving.
     """
 
     flag: Callable[[pd.Series], pd.Series] = None
@@ -73,11 +77,24 @@ class PandasScorer(Scorer):
     def add_verdict(self, df, text, into):
         classify = self.flag
 
-        def one(value):
+        def flag(answer):
+            if answer is None or answer is pd.NA or answer != answer:
+                return None, None
+            if isinstance(answer, (bool, np.bool_)) or (isinstance(answer, numbers.Number) and answer in (0, 1)):
+                return bool(answer), None
+            return None, "ValueError"
+
+        def tried(texts):
             try:
-                return bool(classify(pd.Series([value])).iloc[0]), None
+                answers = pd.Series(classify(texts)).astype(object)
+                if len(answers) != len(texts):
+                    raise ValueError("one answer for each text")
+                return [flag(answer) for answer in answers]
             except Exception as error:
-                return None, type(error).__name__
+                if len(texts) == 1:
+                    return [(None, type(error).__name__)]
+            middle = len(texts) // 2
+            return tried(texts.iloc[:middle]) + tried(texts.iloc[middle:])
 
         @F.pandas_udf(VERDICT)
         def verdicts(texts: pd.Series) -> pd.DataFrame:
@@ -85,12 +102,9 @@ class PandasScorer(Scorer):
             present = texts.notna()
             known = texts[present]
             if len(known):
-                try:
-                    out.loc[present, "flagged"] = pd.Series(classify(known)).astype(bool).values
-                except Exception:
-                    each = [one(value) for value in known]
-                    out.loc[present, "flagged"] = [flagged for flagged, _ in each]
-                    out.loc[present, "error"] = [error for _, error in each]
+                each = tried(known)
+                out.loc[present, "flagged"] = [flagged for flagged, _ in each]
+                out.loc[present, "error"] = [error for _, error in each]
             return out
 
         return df.withColumn(into, verdicts(F.col(text)))
