@@ -13,10 +13,12 @@ A pair at similarity 0.8 shares none of 45 bands of 7 coordinates with a probabi
 
 Buckets are never expanded into all pairs. Documents of equal sets are one class first. Each
 bucket compares its least member with the others; links that hold on the full sets merge
-components, and only buckets that still hold several components go on, with more leaders each
-round, smallest components first. A leader leaves the bucket once it has met all members of other
-components, so nothing is left out. Before full sets are read, pairs whose sketches agree in
-fewer than 60 % are dropped: at a similarity of 0.8 that lies 9 standard deviations away.
+components, which settles most buckets. Before these sets are read, pairs whose sketches
+agree in fewer than 60 % are dropped: at a similarity of 0.8 that lies 9 standard deviations away.
+Buckets that still hold several components are put together where they share documents. The
+documents of such a neighbourhood are cut into blocks, and every two blocks are one task of bounded
+size, which multiplies the matrices of their sets and gives back the edges of a spanning
+forest of the links only. So every pair that shares a bucket is verified or known to be connected.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ BANDS = COORDINATES // ROWS
 PLAUSIBLE = 0.6
 #: Sets of fewer shingles reach a similarity of 0.8 with no other set.
 LEAST = 4
+#: Documents of a block, and columns of its matrix multiplied at once.
+BLOCK = 512
+COLUMNS = 8_192
 #: Bits of the filter that keeps texts without candidates from being shingled again.
 FILTER_BITS = 1 << 26
 #: Characters worked on at once inside a task.
@@ -133,9 +138,9 @@ def _wanted(ids: DataFrame) -> np.ndarray:
     """A filter of FILTER_BITS bits with two bits for each id. Its size is fixed; a full one only lets more through."""
     h = F.xxhash64("id")
     bits = ids.select(F.explode(F.array(h, F.shiftrightunsigned(h, 26))).alias("h")).select(F.expr(f"h & {FILTER_BITS - 1}").alias("bit"))
-    words = bits.groupBy(F.expr("bit div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("word")).toPandas()
+    words = bits.groupBy(F.expr("bit div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("word")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.uint64)
-    out[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64).view(np.uint64)
+    out[words["at"].to_numpy()] = words["word"].to_numpy().view(np.uint64)
     return out
 
 
@@ -171,13 +176,54 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
-def _leaders(members: DataFrame, most: int) -> DataFrame:
-    """Up to ``most`` members of each bucket, those of its smallest components first. Hot buckets are cut by a salt before they are ordered."""
-    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    ranked = members.join(sizes, ["key", "component"]).withColumn("salt", F.expr("pmod(xxhash64(id), 64)"))
-    order = "order by size, component, id"
-    cut = ranked.withColumn("n", F.expr(f"row_number() over (partition by key, salt {order})")).filter(F.col("n") <= most)
-    return cut.withColumn("n", F.expr(f"row_number() over (partition by key {order})")).filter(F.col("n") <= most).select("key", F.col("id").alias("leader"), F.col("component").alias("leader_component"))
+def _compare(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Edges of a spanning forest of the links between documents of different components."""
+        ids, component = pdf["id"].to_numpy(), pdf["component"].to_numpy()
+        none = pd.DataFrame({"src": [], "dst": []}).astype("int64")
+        if (component == component[0]).all():
+            return none
+        sizes = pdf["shingles"].map(len).to_numpy()
+        values, columns, many = np.unique(np.concatenate(pdf["shingles"].to_list()), return_inverse=True, return_counts=True)
+        # A shingle of one document is common to no two.
+        place = np.cumsum(many > 1) - 1
+        rows, shared = np.repeat(np.arange(len(ids)), sizes), many[columns] > 1
+        rows, columns = rows[shared], place[columns[shared]]
+        common = np.zeros((len(ids), len(ids)), np.float32)
+        by = np.argsort(columns, kind="stable")
+        rows, columns = rows[by], columns[by]
+        for low in range(0, int((many > 1).sum()), COLUMNS):
+            a, b = np.searchsorted(columns, (low, low + COLUMNS))
+            part = np.zeros((len(ids), COLUMNS), np.float32)
+            part[rows[a:b], columns[a:b] - low] = 1
+            common += part @ part.T
+        linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+        linked &= component[:, None] != component[None, :]
+        label = np.arange(len(ids))
+        while True:
+            least = np.minimum(label, np.where(linked, label[None, :], len(ids)).min(axis=1))
+            if (least == label).all():
+                break
+            label = least
+        moved = label != np.arange(len(ids))
+        return pd.DataFrame({"src": ids[moved], "dst": ids[label[moved]]}) if moved.any() else none
+
+    return run
+
+
+def _neighbourhoods(docs: DataFrame, open_: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (src, dst) between components within the buckets of open_ (key, id, component)."""
+    first = open_.groupBy("key").agg(F.min("id").alias("dst"))
+    area = components(open_.join(first, "key").select(F.col("id").alias("src"), "dst")).withColumnRenamed("component", "area")
+    sizes = area.groupBy("area").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    placed = area.join(sizes, "area").withColumn("block", block).join(open_.select("id", "component").distinct(), "id")
+    placed = stored(placed, "areas")
+    sets = sets_of(docs, placed.select("id"), width)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = placed.join(sets, "id").select("area", "id", "component", "shingles", "block", other)
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return dealt.groupBy("area", "i", "j").applyInPandas(_compare(percent), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
@@ -202,45 +248,29 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     sketch = stored(table.join(inside, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "sketch").dropDuplicates(["id"]), "member-sketches")
 
     pairs = members.filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    left = members.filter("id <> leader").select("key", "id")
-    links, most = None, 1
-    while True:
-        found = _verified(docs, sketch, pairs, width, percent)
-        if found is not None:
-            links = found if links is None else stored(links.unionByName(found), "links")
-            label = components(links)
-        named = left if links is None else left.join(label, left["id"] == label["id"], "left").select("key", left["id"], F.coalesce("component", left["id"]).alias("component"))
-        if links is None:
-            named = named.withColumn("component", F.col("id"))
-        several = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-        open_ = stored(named.join(several, "key", "left_semi"), "open")
-        if open_.isEmpty():
-            break
-        most *= 4
-        leaders = stored(_leaders(open_, most), "leaders")
-        met = open_.join(leaders, "key").filter("component <> leader_component")
-        pairs = met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        left = open_.join(leaders.select("key", F.col("leader").alias("id")), ["key", "id"], "left_anti").select("key", "id")
+    links = _verified(docs, sketch, pairs, width, percent)
+    label = stored(components(links), "components").withColumnRenamed("id", "of")
+    named = members.join(label, members["id"] == label["of"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    several = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    open_ = stored(named.join(several, "key", "left_semi"), "open")
+    more = _neighbourhoods(docs, open_, width, percent)
+    # Components found so far are edges to their least members.
+    known = label.select(F.col("of").alias("src"), F.col("component").alias("dst"))
+    label = stored(components(known.unionByName(more)), "components")
 
     own = table.join(classes, of_set, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))
-    if links is not None:
-        label = stored(label, "components")
-        own = own.join(label, own["rep"] == label["id"], "left")
-    else:
-        own = own.withColumn("component", F.lit(None).cast("long"))
+    own = own.join(label, own["rep"] == label["id"], "left")
     component = F.coalesce("component", "rep", "doc_id")
     return own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 
 
-def _verified(docs: DataFrame, sketch: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """The pairs that are links on their full sets, as (src, dst); None where there is no plausible one."""
+def _verified(docs: DataFrame, sketch: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs that are links on their full sets, as (src, dst)."""
     a, b = (sketch.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
     near = pairs.join(a, "a").join(b, "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     near = stored(near.filter(F.pandas_udf(agreement, "double")("sa", "sb") >= PLAUSIBLE).select("a", "b"), "plausible")
-    if near.isEmpty():
-        return None
     ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = stored(sets_of(docs, ids, width), "sets")
     x, y = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
