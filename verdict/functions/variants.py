@@ -19,7 +19,7 @@ _END = "271828182845.90452353"
 
 # NaN and Infinity are not JSON. The parser's own limits are lower: strings of 20 million characters
 # and 1,000 levels.
-_LIMITS = "map('allowNonNumericNumbers', 'false', 'maxStringLen', '1000000000', 'maxNestingDepth', '10000')"
+_LIMITS = "map('allowNonNumericNumbers', 'false', 'allowSingleQuotes', 'false', 'maxStringLen', '1000000000', 'maxNestingDepth', '10000')"
 
 
 def _parsed(text: str) -> str:
