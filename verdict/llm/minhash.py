@@ -41,11 +41,11 @@ PLAUSIBLE = 0.6
 LEAST = 4
 #: Documents of a block, and columns of its matrix multiplied at once.
 BLOCK = 512
-COLUMNS = 8_192
+COLUMNS = 4_096
 #: Bits of the filter that keeps texts without candidates from being shingled again.
 FILTER_BITS = 1 << 26
 #: Characters worked on at once inside a task.
-CHUNK = 8_000_000
+CHUNK = 3_000_000
 
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
