@@ -13,7 +13,6 @@ documents, ``STRETCH`` words each. The gradient of the log-likelihood is exact;
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdict.llm.common import slices
+from verdict.llm.common import mix, slices
 
 #: Documents of a language a model is fitted on at most, those of least hash of their id.
 SAMPLE = 150
@@ -32,8 +31,11 @@ STRETCH = 40
 #: Stretches of a document at most, drawn from its whole text.
 STRETCHES = 20
 STEPS = 25
+#: Characters of a word with its marks, and words whose features are made at once.
+WIDTH = 26
+PART = 10_000
 #: Characters worked on at once inside a task, and word scores a task remembers.
-CHUNK = 4_000_000
+CHUNK = 3_000_000
 REMEMBERED = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -43,21 +45,36 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def features(word: str) -> list[int]:
-    w = f"<{word[:24]}>"
-    parts = [f"={w}", *(f"p{w[:n]}" for n in (3, 4)), *(f"s{w[-n:]}" for n in (3, 4))]
-    parts += [w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(p.encode()) % FEATURES for p in parts]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of weights of each word, word after word, and how many a word has; long words by their first letters."""
+    text = np.array([f"<{w[: WIDTH - 2]}>" for w in words], dtype=f"U{WIDTH}")
+    c = text.view(np.uint32).reshape(len(words), WIDTH).astype(np.uint64)
+    length = (c > 0).sum(axis=1)
+
+    def gram(chars: list[np.ndarray], salt: int) -> np.ndarray:
+        h = np.full(chars[0].shape, salt, np.uint64)
+        for x in chars:
+            h = mix(h ^ x)
+        return h
+
+    at = np.arange(len(words))
+    ends = [np.maximum(length - k, 0) for k in (4, 3, 2, 1)]
+    last = [c[at, e] for e in ends]
+    hashes = [gram([c[:, i] for i in range(WIDTH)], 1)[:, None]]
+    hashes += [gram(x, salt)[:, None] for salt, x in ((2, [c[:, i] for i in range(3)]), (3, [c[:, i] for i in range(4)]), (4, last[1:]), (5, last))]
+    hashes += [gram([c[:, :-1], c[:, 1:]], 6), gram([c[:, :-2], c[:, 1:-1], c[:, 2:]], 7)]
+    place = np.arange(WIDTH)
+    there = np.concatenate([np.ones((len(words), 5), bool), place[None, 1:] < length[:, None], place[None, 2:] < length[:, None]], axis=1)
+    return (np.concatenate(hashes, axis=1)[there] % np.uint64(FEATURES)).astype(np.int32), there.sum(axis=1)
 
 
 class Lexicon:
     """Feature rows of distinct words, to be summed by word."""
 
     def __init__(self, words: list[str]):
-        lists = [features(w) for w in words]
-        self.sizes = np.array([len(x) for x in lists], np.int64)
-        self.rows = np.fromiter((i for x in lists for i in x), np.int64, int(self.sizes.sum()))
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64)
+        parts = [features(words[i : i + PART]) for i in range(0, len(words), PART)] or [(np.empty(0, np.int32), np.empty(0, np.int64))]
+        self.rows, self.sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         if not len(self.sizes):
@@ -117,7 +134,10 @@ class Model:
         codes, kinds = pd.factorize(flat)
         known = {} if known is None else known
         new = [w for w in kinds if w not in known]
-        fresh = dict(zip(new, Lexicon(new).scores(self.weights).astype(np.float32), strict=True))
+        fresh: dict = {}
+        for i in range(0, len(new), PART):
+            part = new[i : i + PART]
+            fresh.update(zip(part, Lexicon(part).scores(self.weights).astype(np.float32), strict=True))
         if len(known) + len(fresh) <= REMEMBERED:
             known.update(fresh)
         table = np.array([fresh[w] if w in fresh else known[w] for w in kinds], np.float32).reshape(len(kinds), len(self.languages))

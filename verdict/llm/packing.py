@@ -144,12 +144,14 @@ class Encoder:
         lengths = np.fromiter((len(e[0]) // 2 for e in entries), np.int64, len(entries))
         begin = np.cumsum(lengths) - lengths
         many = lengths[codes]
-        at = np.repeat(begin[codes] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        at = np.repeat((begin[codes] - (np.cumsum(many) - many)).astype(np.int32), many)
+        at += np.arange(len(at), dtype=np.int32)
         ids = pool[at]
+        del at, flat
         ends = np.concatenate(([0], np.cumsum(sizes)))
         upto = np.concatenate(([0], np.cumsum(many)))[ends]
         signs = self.signs[np.fromiter((e[1] for e in entries), np.int64, len(entries))]
-        sums = np.concatenate((np.zeros((1, DIMENSIONS), np.int64), np.cumsum(signs[codes].astype(np.int64), axis=0)))[ends]
+        sums = np.concatenate((np.zeros((1, DIMENSIONS), np.int32), np.cumsum(signs[codes], axis=0, dtype=np.int32)))[ends]
         spread = np.diff(sums, axis=0) / np.sqrt(np.maximum(sizes, 1))[:, None]
         grid = np.minimum((1 << GRID_BITS) / (1 + np.exp(-np.clip(spread / 3, -30, 30))), (1 << GRID_BITS) - 1)
         last = np.array([END], np.uint16).tobytes()
