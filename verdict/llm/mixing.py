@@ -107,9 +107,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFram
 
 
 def copies(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
-    """docs with the number of copies the mix takes of each row, as ``copies``; see mix."""
+    """(row, copies): each row of docs as a struct, and how often the mix takes it; see mix."""
     _, goal = _marked(docs, weights, most)
     goal = goal.select("s", "whole", "mark")
-    rows = docs.withColumn("h", doc_hash())
-    joined = rows.join(goal, rows["source"].cast("string").eqNullSafe(F.col("s")))
-    return joined.select(*docs.columns, _copies(most).alias("copies"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), doc_hash().alias("h"))
+    joined = rows.join(goal, rows["source"].eqNullSafe(F.col("s")))
+    return joined.select("row", _copies(most).alias("copies"))
