@@ -7,11 +7,12 @@ Personal data is masked in the texts. The last stage returns the pieces of packe
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdict.llm import language, minhash, mixing, packing, pii
-from verdict.llm.common import fold, stored
+from verdict.llm.common import fold, stored, text_slices
 
 #: Mean probability of a document's language below which it is rejected.
 CLEAR = 0.4
@@ -22,13 +23,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.fit(docs.filter(fold() != 0).select(F.col("doc_id").alias("id"), "text", "lang"))
     shared = spark.sparkContext.broadcast(model)
 
-    def keep(frames):
+    text = docs.columns.index("text")
+
+    def keep(batches):
         known = {}
-        for pdf in frames:
-            seen = language.predict(shared.value, pdf["text"].to_list(), known)
-            yield pdf[[not shared.value.languages or (lang != "und" and score >= CLEAR) for lang, score, _ in seen]]
+        for batch in batches:
+            for a, b, texts in text_slices(batch.column(text), language.CHUNK):
+                seen = language.predict(shared.value, texts, known)
+                clear = [not shared.value.languages or (lang != "und" and score >= CLEAR) for lang, score, _ in seen]
+                yield batch.slice(a, b - a).filter(pa.array(clear, pa.bool_()))
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,3 +121,12 @@ def slices(sizes: np.ndarray, most: int):
         total += int(size)
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def text_slices(column: pa.Array, most: int):
+    """(begin, end, texts) of an Arrow column, at most ``most`` bytes or one text at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for a, b in slices(sizes, most):
+        yield a, b, column[a:b].to_pylist()
+    # Arrow would keep what the batch took for the life of the worker.
+    pa.default_memory_pool().release_unused()

@@ -35,8 +35,8 @@ STEPS = 25
 WIDTH = 26
 PART = 10_000
 #: Characters worked on at once inside a task, and word scores a task remembers.
-CHUNK = 3_000_000
-REMEMBERED = 100_000
+CHUNK = 2_000_000
+REMEMBERED = 80_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdict.llm.common import components, mix, names, slices, stored
+from verdict.llm.common import components, mix, names, stored, text_slices
 
 COORDINATES = 315
 ROWS = 7
@@ -44,8 +44,8 @@ BLOCK = 512
 COLUMNS = 4_096
 #: Bits of the filter that keeps texts without candidates from being shingled again.
 FILTER_BITS = 1 << 26
-#: Characters worked on at once inside a task.
-CHUNK = 3_000_000
+#: Bytes of text worked on at once inside a task.
+CHUNK = 1_500_000
 
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -107,9 +107,9 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
 def _sketcher(width: int):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), CHUNK):
-                values, bounds = shingle_sets(texts[a:b], width)
+            ids = batch.column(0)
+            for a, b, texts in text_slices(batch.column(1), CHUNK):
+                values, bounds = shingle_sets(texts, width)
                 sketch = sketch_sets(values, bounds)
                 keys = band_keys(sketch)
                 zero = np.zeros(1, np.uint64)
@@ -158,9 +158,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 bit = (h >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1)
                 hit &= (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
             batch = batch.filter(pa.array(hit))
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), CHUNK):
-                values, bounds = shingle_sets(texts[a:b], width)
+            for a, b, texts in text_slices(batch.column(1), CHUNK):
+                values, bounds = shingle_sets(texts, width)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))],
                     names=names(_SETS),

@@ -26,16 +26,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdict.llm.common import mix, names, slices, stored
+from verdict.llm.common import mix, names, stored, text_slices
 
 LENGTH = 4_096
 END = 2
 BUCKETS = 1 << 16
 DIMENSIONS = 3
 GRID_BITS = 10
-#: Characters worked on at once inside a task, and words a worker remembers.
-CHUNK = 8_000_000
-REMEMBERED = 250_000
+#: Bytes of text worked on at once inside a task, and words a worker remembers.
+CHUNK = 7_000_000
+REMEMBERED = 220_000
 
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,!?;:|&*#$%()-]*)")
 #: Python takes these for white space, the vocabulary does not.
@@ -182,9 +182,8 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         encoder = _encoder(path or vocabulary())
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), CHUNK):
-                ids, places = encoder.documents(texts[a:b])
+            for a, b, texts in text_slices(batch.column(1), CHUNK):
+                ids, places = encoder.documents([t or "" for t in texts])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(places), pa.array(ids, pa.binary())],
                     names=names(_TOKENS),
