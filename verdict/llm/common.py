@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -26,7 +27,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share; one of this machine only in local mode where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="verdict-llm-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -128,5 +130,12 @@ def text_slices(column: pa.Array, most: int):
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     for a, b in slices(sizes, most):
         yield a, b, column[a:b].to_pylist()
-    # Arrow would keep what the batch took for the life of the worker.
+    give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system: Arrow and the C library would keep it for the life of the worker."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it, others do not
+    if trim is not None:
+        trim(0)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdict.llm.common import mix, slices
+from verdict.llm.common import give_back, mix, slices
 
 #: Documents of a language a model is fitted on at most, those of least hash of their id.
 SAMPLE = 150
@@ -224,6 +224,7 @@ def label_documents(docs: DataFrame, model: Model) -> DataFrame:
         known = {}
         for pdf in frames:
             langs, scores, words = zip(*predict(shared.value, pdf["text"].to_list(), known), strict=True) if len(pdf) else ((), (), ())
+            give_back()
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": pd.Series(langs, dtype=object), "score": scores, "words": pd.Series(words, dtype=object)})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, lang_pred string, score double, words map<string, int>")
