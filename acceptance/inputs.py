@@ -79,6 +79,20 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled_documents(documents, table(spark, sf_dir, "labels"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus without labels: (id, comment)."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("comment")
+    )
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by text id: (id, label)."""
+    return table(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("toxic").cast("double").alias("label")
+    )
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "props")
 
@@ -131,7 +145,7 @@ def input_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages whose input is an empty or odd JSON value by document number."""
     odd = ("{}", "[]", '""', "0", "0.0", "false", "null", "[0]", '" "', '{"id":null}')
     value = F.element_at(F.array(*[F.lit(v) for v in odd]), (number() % 11 + 1).cast("int"))
-    return corpus(spark, sf_dir).select(
+    return texts(spark, sf_dir).select(
         "id",
         F.when(
             number() % 11 == 10, F.to_json(F.struct(F.lit("AB").alias("plan"), F.col("id")))
@@ -141,8 +155,43 @@ def input_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Input times of some answers, as text and as a number.
+TIME = "2025-03-01T08:00:00Z"
+SECONDS = 1740816000
+
+#: Plans none of whose messages can run; the last can run for messages without an input.
+FAULTY_PLANS = (
+    plan("NoInputs", "lexicon_a"),
+    plan("Malformed", ("echo", ["{0}"])),
+    plan("OnInput", ("echo", ["{default_input.id}"])),
+)
+
+
+def faulty_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages for the plans above by document number; every fourth has no input."""
+    names = F.array(*[F.lit(p) for p in ("NoInputs", "Malformed", "OnInput", "OnInput")])
+    given = F.when(number() % 4 != 3, F.struct("id", "comment"))
+    body = F.struct(F.element_at(names, (number() % 4 + 1).cast("int")).alias("plan"), given.alias("input"))
+    return texts(spark, sf_dir).select(F.to_json(body).alias("value"))
+
+
+def faulty_scorers():
+    """One that raises on texts with "scum", one that has no answer for texts with "clown"."""
+    known = pandas_lexicon(WORDS_A)
+
+    def raising(some):
+        if some.str.contains("scum", regex=False).any():
+            raise ValueError("scum")
+        return known(some)
+
+    def silent(some):
+        return known(some).astype(object).where(~some.str.contains("clown", regex=False), None)
+
+    return [PandasScorer("raising", flag=raising), PandasScorer("silent", flag=silent)]
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One answer of lexicon_a per document as JSON text, half of them damaged."""
+    """One answer of lexicon_a per document as JSON text, half of them damaged or unusual."""
     rows = corpus(spark, sf_dir)
     r = number() % 22
     output = F.to_json(F.struct("id", "comment", "label"))
@@ -159,6 +208,15 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(
             r == 8, F.to_json(F.struct("id", "comment", F.array(F.lit(1)).alias("label")))
         )
+        .when(
+            r == 11,
+            F.to_json(F.struct("id", F.col("comment").alias("text"), F.lit("other").alias("comment"), "label")),
+        )
+        .when(r == 12, F.to_json(F.struct("id", "comment", F.lit(True).alias("label"))))
+        .when(r == 13, F.to_json(F.struct("id", "comment", F.lit(False).alias("label"))))
+        .when(r == 14, F.to_json(F.struct("id", "comment", "label", F.lit(TIME).alias("timestamp"))))
+        .when(r == 15, F.to_json(F.struct("id", "comment", "label", F.lit(SECONDS).alias("timestamp"))))
+        .when(r == 16, F.to_json(F.struct("id", "comment", "label", F.lit(0).alias("timestamp"))))
         .otherwise(output)
     )
     whole = F.concat(

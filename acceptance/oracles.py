@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from acceptance.inputs import LABELS, WORDS_A, WORDS_B
+from acceptance.inputs import LABELS, SECONDS, TIME, WORDS_A, WORDS_B
 
 ORACLES: dict[str, str] = {}
 
@@ -57,6 +57,19 @@ SELECT id, model, doc_id % 9 <> 0 AS success,
   CASE WHEN doc_id % 9 = 0 THEN 'missing_text' END AS error
 FROM scored"""
 
+ORACLES["score_faults"] = f"""WITH faults AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, model, {_flag(WORDS_A)} AS known,
+    CASE WHEN model = 'raising' AND contains(text, 'scum') THEN 'ValueError'
+      WHEN model = 'silent' AND contains(text, 'clown') THEN 'no_verdict' END AS error
+  FROM documents CROSS JOIN (VALUES ('raising'), ('silent')) AS m(model))
+SELECT id, model, error IS NULL AS success, CASE WHEN error IS NULL THEN known END AS flagged, error FROM faults"""
+
+ORACLES["faulty_plans"] = """
+SELECT CASE doc_id % 4 WHEN 0 THEN 'NoInputs' WHEN 1 THEN 'Malformed' ELSE 'OnInput' END AS plan,
+  CASE doc_id % 4 WHEN 0 THEN 'no_inputs' WHEN 1 THEN 'bad_template' WHEN 2 THEN 'bad_template' END AS reason,
+  COUNT(*) AS n
+FROM documents GROUP BY ALL"""
+
 ORACLES["parse_reply"] = "SELECT doc_id, doc_id % 7 < 3 AS yes FROM documents"
 
 ORACLES["envelope_roundtrip"] = f"""WITH {CORPUS}
@@ -218,8 +231,10 @@ ORACLES["rejected_rows"] = f"""WITH {CORPUS}, {_REASONS}
 SELECT id, reason FROM reasons WHERE reason IS NOT NULL"""
 
 ORACLES["accepted_answers"] = f"""WITH {CORPUS}, {_REASONS}
-SELECT id AS record_id, text AS comment, label, 'lexicon_a' AS model,
-  {_flag(WORDS_A)} AS flagged, CAST(NULL AS VARCHAR) AS input_ts
+SELECT id AS record_id, text AS comment,
+  CASE doc_id % 22 WHEN 12 THEN CAST(1 AS DOUBLE) WHEN 13 THEN CAST(0 AS DOUBLE) ELSE label END AS label,
+  'lexicon_a' AS model, {_flag(WORDS_A)} AS flagged,
+  CASE doc_id % 22 WHEN 14 THEN '{TIME}' WHEN 15 THEN '{SECONDS}' END AS input_ts
 FROM reasons WHERE reason IS NULL"""
 
 ORACLES["insert_counts"] = f"""WITH {CORPUS}, {_REASONS}
@@ -241,9 +256,13 @@ ON d.doc_id % {len(LABELS)} = e.r"""
 RESULTS = f"""WITH {SCORED}
 SELECT id AS record_id, text AS comment, label, model, flagged,
   CAST(NULL AS VARCHAR) AS input_ts FROM scored"""
-for _name in ("result_rows", "result_rows_pandas", "stored_results", "stream_results"):
+for _name in ("result_rows", "result_rows_pandas", "stream_results"):
     ORACLES[_name] = RESULTS
 
+ORACLES["stored_results"] = f"SELECT r.* FROM ({RESULTS}) r CROSS JOIN (VALUES (1), (2)) twice(nth)"
+
+ORACLES["stored_result_ids"] = "SELECT 4 * COUNT(*) AS n_rows, 4 * COUNT(*) AS n_ids FROM documents"
+
 ORACLES["stream_batches"] = """
 SELECT COUNT(*) AS completed, CAST(0 AS BIGINT) AS failed, 2 * COUNT(*) AS stored,
   CAST(0 AS BIGINT) AS rejected FROM documents"""
@@ -275,5 +294,10 @@ ORACLES["peeked_message"] = """
 SELECT 'seen' AS what, CAST(1 AS BIGINT) AS n
 UNION ALL SELECT 'waiting', COUNT(*) FROM documents"""
 
+ORACLES["published_counts"] = """
+SELECT 'published' AS what, COUNT(*) AS n FROM documents
+UNION ALL SELECT 'waiting', COUNT(*) FROM documents
+UNION ALL SELECT 'taken', LEAST(8, COUNT(*)) FROM documents"""
+
 ORACLES["message_files"] = """
 SELECT CAST(s_suppkey AS VARCHAR) AS id, 'AB' AS plan, s_name AS comment FROM supplier"""

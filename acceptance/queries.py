@@ -12,7 +12,7 @@ from acceptance import inputs as given
 from verdict.functions.text import reply_is_yes
 from verdict.functions.variants import with_strict_variant
 from verdict.operators import records
-from verdict.operators.envelope import decode_messages
+from verdict.operators.envelope import decode_messages, take_messages
 from verdict.operators.evaluate import accuracy_by_model as accuracy
 from verdict.operators.evaluate import row_correctness as correctness
 from verdict.operators.evaluate import score_labelled
@@ -26,7 +26,9 @@ from verdict.operators.outcomes import (
 )
 from verdict.operators.scoring import (
     ModelScorer,
+    add_verdicts,
     echo_answer,
+    one_row_per_model,
     score_corpus,
     smoke_check,
 )
@@ -43,7 +45,7 @@ from verdict.sources.messages import (
     read_scorer_lines,
     stream_messages,
 )
-from verdict.sources.results import append_results, create_results_table, read_outcomes
+from verdict.sources.results import RESULT_SCHEMA, append_results, create_results_table, read_outcomes
 from verdict.streaming.pipeline import batch_totals, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,14 +82,26 @@ def row_correctness(spark, sf_dir):
     )
 
 
+def _fanout(spark, sf_dir, scorers):
+    """Texts are scored where they are read; only their flags meet the labels."""
+    scored = add_verdicts(given.texts(spark, sf_dir), scorers).select("id", "verdicts")
+    return one_row_per_model(scored.join(given.labels(spark, sf_dir), "id", "left"), ["id", "label"])
+
+
 @query
 def score_fanout(spark, sf_dir):
-    return score_corpus(given.corpus(spark, sf_dir), given.scorers(), carry=["id", "label"])
+    return _fanout(spark, sf_dir, given.scorers())
 
 
 @query
 def score_fanout_pandas(spark, sf_dir):
-    return score_corpus(given.corpus(spark, sf_dir), given.pandas_scorers(), carry=["id", "label"])
+    return _fanout(spark, sf_dir, given.pandas_scorers())
+
+
+@query
+def score_faults(spark, sf_dir):
+    """A scorer that raises and one without an answer spoil their own rows only."""
+    return score_corpus(given.texts(spark, sf_dir), given.faulty_scorers(), carry=["id"])
 
 
 @query
@@ -104,7 +118,7 @@ def score_fanout_model(spark, sf_dir):
         ModelScorer("lexicon_a", transformer=model(given.WORDS_A)),
         ModelScorer("lexicon_b", transformer=model(given.WORDS_B)),
     ]
-    return score_corpus(given.corpus(spark, sf_dir), scorers, carry=["id", "label"])
+    return _fanout(spark, sf_dir, scorers)
 
 
 @query
@@ -116,7 +130,7 @@ def score_conversations(spark, sf_dir):
 def score_errors(spark, sf_dir):
     """Blank texts fall back to the comment; where that is blank too, an error answer."""
     n = given.number()
-    rows = given.corpus(spark, sf_dir).withColumns(
+    rows = given.texts(spark, sf_dir).withColumns(
         {
             "text": F.when(n % 3 == 0, "").when(n % 3 == 1, F.lit(None)).otherwise(F.col("comment")),
             "comment": F.when(n % 9 != 0, F.when(n % 3 != 2, F.col("comment"))),
@@ -178,6 +192,13 @@ def dead_letter_counts(spark, sf_dir):
     return dead_letters(_routed(spark, sf_dir)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query
+def faulty_plans(spark, sf_dir):
+    """What stops messages of plans that cannot run, with and without an input."""
+    routed = route_messages(given.faulty_messages(spark, sf_dir), given.FAULTY_PLANS, given.steps())
+    return routed.groupBy("plan", "reason").agg(F.count("*").alias("n"))
+
+
 @query
 def expanded_steps(spark, sf_dir):
     """One row per step to run, of plans that were read from files."""
@@ -294,7 +315,7 @@ def insert_counts(spark, sf_dir):
 @query
 def coerce_label(spark, sf_dir):
     """Label texts carried through answers, each to the number that is stored."""
-    rows = given.corpus(spark, sf_dir)
+    rows = given.texts(spark, sf_dir)
     answer = F.struct(
         F.lit(True).alias("success"),
         F.lit("lexicon_a").alias("model"),
@@ -327,15 +348,31 @@ def result_accuracy(spark, sf_dir):
     )
 
 
-@query
-def stored_results(spark, sf_dir):
-    """The same rows appended to a results table and read back."""
+def _stored_twice(spark, sf_dir):
+    """The results appended twice to a table; its files stay to be read, its name goes."""
     where = scratch_dir(spark, "results")
     table = "verdict_results_" + where.rsplit("-", 1)[1]
     create_results_table(spark, table, where)
     scored = score_messages(given.messages(spark, sf_dir), given.PLANS[:1], given.steps())
-    append_results(results(scored), table)
-    return spark.table(table).select(*records.RESULT_COLUMNS)
+    try:
+        for _ in range(2):
+            append_results(results(scored), table)
+    finally:
+        spark.sql(f"DROP TABLE {table}")
+    return spark.read.schema(RESULT_SCHEMA).parquet(where)
+
+
+@query
+def stored_results(spark, sf_dir):
+    """The same rows appended to a results table twice and read back."""
+    return _stored_twice(spark, sf_dir).select(*records.RESULT_COLUMNS)
+
+
+@query
+def stored_result_ids(spark, sf_dir):
+    """Rows of that table, and how many ids they have."""
+    ids = F.countDistinct("write_id", "result_id")
+    return _stored_twice(spark, sf_dir).agg(F.count("*").alias("n_rows"), ids.alias("n_ids"))
 
 
 @query
@@ -409,10 +446,12 @@ def stream_batches(spark, sf_dir):
 
 @query
 def csv_corpus(spark, sf_dir):
-    """The corpus written as CSV and read back."""
+    """The corpus written as CSV, half of it with other columns first, and read back."""
     where = scratch_dir(spark, "csv")
-    write_labelled_csv(given.corpus(spark, sf_dir), where)
-    return read_labelled_csv(spark, where)
+    rows, even = given.corpus(spark, sf_dir), given.number() % 2 == 0
+    write_labelled_csv(rows.filter(even), f"{where}/even")
+    write_labelled_csv(rows.filter(~even), f"{where}/odd", order=("label", "text", ""))
+    return read_labelled_csv(spark, f"{where}/*")
 
 
 @query
@@ -451,6 +490,18 @@ def peeked_message(spark, sf_dir):
     return both.groupBy("what").agg(F.count("*").alias("n"))
 
 
+@query
+def published_counts(spark, sf_dir):
+    """How many messages were published, wait, and are taken for a batch of eight."""
+    where = scratch_dir(spark, "messages")
+    n = publish(given.messages(spark, sf_dir), where)
+    waiting = read_messages(spark, where)
+    taken = take_messages(waiting, 8).select(F.lit("taken").alias("what"))
+    both = taken.unionAll(waiting.select(F.lit("waiting").alias("what")))
+    counted = both.groupBy("what").agg(F.count("*").alias("n"))
+    return counted.unionAll(spark.range(1).select(F.lit("published"), F.lit(n).cast("bigint")))
+
+
 @query
 def message_files(spark, sf_dir):
     """Messages spread over several lines, each in a file of its own."""

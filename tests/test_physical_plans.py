@@ -9,7 +9,7 @@ from acceptance.queries import QUERIES
 # Writes files or starts a stream when called; what is left to plan is a plain scan.
 WRITERS = {
     "stored_results", "stream_results", "stream_batches", "csv_corpus", "jsonl_input",
-    "published_messages", "peeked_message", "message_files",
+    "published_messages", "peeked_message", "message_files", "published_counts", "stored_result_ids",
 }
 
 

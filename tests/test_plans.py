@@ -119,6 +119,13 @@ def test_plan_table_is_broadcast_by_its_size(spark):
     assert table.count() == len(PLANS)
     joined = spark.createDataFrame([("AB",)], "plan string").join(table, "plan", "left")
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.range(9).selectExpr("cast(id as string) as plan").join(table, "plan", "left")
+        assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     with pytest.raises(ValueError):
         plan_table(spark, [PLANS[0], PLANS[0]], steps())
 

@@ -39,6 +39,15 @@ def test_csv_columns_go_by_name(spark, tmp_path):
     assert [tuple(r) for r in read_labelled_csv(spark, str(tmp_path / "b.csv")).collect()] == [("", "é", "1")]
 
 
+def test_csv_columns_go_by_name_in_every_file(spark, tmp_path):
+    (tmp_path / "with space.csv").write_text(',text,label\n1,aaa,0\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("label,,text\n1,2,bbb\n0,3,ccc\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("text,label,\nddd,1,4\n", encoding="utf-8")
+    (tmp_path / "empty.csv").write_text("")
+    rows = sorted(tuple(r) for r in read_labelled_csv(spark, str(tmp_path)).collect())
+    assert rows == [("1", "aaa", "0"), ("2", "bbb", "1"), ("3", "ccc", "0"), ("4", "ddd", "1")]
+
+
 def test_csv_roundtrip_of_odd_texts(spark, tmp_path):
     odd = ['a"b', "line\nbreak", "crlf\r\nend", "back\\slash", '\\"', ",", " lead", "trail ", "'", "é﻿", '""', "#x"]
     df = spark.createDataFrame([(str(i), t, "1") for i, t in enumerate(odd)], "id string, comment string, label string")
@@ -60,6 +69,13 @@ def test_messages_out_and_in(spark, tmp_path):
     assert {r[0] for r in back.collect()} == {f"line\n{i}" for i in range(300)}
 
 
+def test_a_batch_is_bounded_by_messages(spark, tmp_path):
+    where = str(tmp_path / "queue")
+    publish(spark.range(20).selectExpr("cast(id as string) as value").coalesce(1), where, per_file=8)
+    files = read_messages(spark, where).groupBy("_metadata.file_path").count()
+    assert sorted(r["count"] for r in files.collect()) == [4, 8, 8]
+
+
 def test_envelope_by_column(spark):
     df = spark.createDataFrame([("p", "1", "c", None)], "plan string, id string, comment string, label string")
     body = encode_messages(df, F.col("plan")).first()["value"]

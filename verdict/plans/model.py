@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 DEFAULT_INPUT = "default_input"
 INPUT_POSITION = -1
 
+#: Size of all plans, in Arrow, up to which they are sent to every task that routes messages.
+PLAN_BYTES = 64 << 20
+
 UNKNOWN_STEP = "unknown_step"
 BAD_TEMPLATE = "bad_template"
 NO_INPUTS = "no_inputs"
@@ -127,8 +130,9 @@ _STEPS = pa.list_(pa.struct([("name", pa.string()), ("inputs", pa.list_(pa.strin
 def plan_table(spark: SparkSession, plans: Iterable[Plan], registry: dict) -> DataFrame:
     """One row per plan: its steps, and why its messages must fail, if they must.
 
-    Built from Arrow, so that the optimizer knows the exact size of the table: it is
-    broadcast while that is below the session's threshold and shuffled beyond it.
+    Plans are configuration the driver holds already. While they take ``PLAN_BYTES`` at most, message
+    bodies stay where they are, whatever the session's threshold for broadcasts; the optimizer
+    decides beyond that, from the exact size of the table.
     """
     plans = list(plans)
     names = [p.name for p in plans]
@@ -144,7 +148,8 @@ def plan_table(spark: SparkSession, plans: Iterable[Plan], registry: dict) -> Da
             "problem_no_input": pa.array([problem(p, registry, False) for p in plans], pa.string()),
         }
     )
-    return spark.createDataFrame(table)
+    rows = spark.createDataFrame(table)
+    return F.broadcast(rows) if table.nbytes <= PLAN_BYTES else rows
 
 
 def step_table(spark: SparkSession, registry: dict) -> DataFrame:
