@@ -16,6 +16,8 @@ from verdict.llm.common import fold, stored, text_slices
 
 #: Mean probability of a document's language below which it is rejected.
 CLEAR = 0.4
+#: Bytes of text a packing worker holds at once, next to what earlier stages left in the executor.
+PACKED_AT_ONCE = 2_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, chunk=PACKED_AT_ONCE)
 
 
 STAGES = [

@@ -173,16 +173,17 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n, place, ids (16 bits each, END behind them) for each row of docs (doc_id, text). Null texts are empty.
 
     path is where the vocabulary's file lies on every machine; without it each machine asks its installed package.
+    A worker's memory grows with chunk, the bytes of text it works on at once; smaller ones take more time.
     """
 
     def run(batches):
         encoder = _encoder(path or vocabulary())
         for batch in batches:
-            for a, b, texts in text_slices(batch.column(1), CHUNK):
+            for a, b, texts in text_slices(batch.column(1), chunk):
                 ids, places = encoder.documents([t or "" for t in texts])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(places), pa.array(ids, pa.binary())],
@@ -210,7 +211,7 @@ def offsets(tokens: DataFrame) -> DataFrame:
     return local.join(base, "part").select("row", (F.col("base") + F.col("before")).alias("position"))
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, chunk: int = CHUNK) -> DataFrame:
     """Pieces of documents in sequences of ``length`` tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every row of docs (doc_id, text, ...) is its own document, repeated rows and rows without id
@@ -218,7 +219,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     curve and full but the last, which is padded unless it has a power of two tokens. An empty table
     gives no pieces. Other columns are not read.
     """
-    tokens = stored(encoded(docs, path).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    tokens = stored(encoded(docs, path, chunk).withColumn("row", F.monotonically_increasing_id()), "tokens")
     placed = tokens.select("row", "doc_id", "n", "ids").join(offsets(tokens), "row").select("doc_id", "n", "ids", "position")
 
     def cut(batches):
