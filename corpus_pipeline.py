@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdict.llm import language, minhash, mixing, packing, pii
-from verdict.llm.common import fold, stored, text_slices
+from verdict.llm.common import fold, small_batches, stored, text_slices
 
 #: Mean probability of a document's language below which it is rejected.
 CLEAR = 0.4
@@ -22,6 +22,7 @@ PACKED_AT_ONCE = 2_000_000
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a recognized language; all are kept where no language can be learned."""
+    small_batches(spark)
     model = language.fit(docs.filter(fold() != 0).select(F.col("doc_id").alias("id"), "text", "lang"))
     shared = spark.sparkContext.broadcast(model)
 
@@ -40,6 +41,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group; rows that share an id are one document, rows without id stay."""
+    small_batches(spark)
     found = minhash.near_duplicates(docs, width=5, percent=80)
     kept = stored(found.filter("kept and doc_id is not null").select("doc_id"), "kept").distinct()
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -47,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     masked = pii.mask(docs, pii.fit(docs))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
@@ -58,6 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs, chunk=PACKED_AT_ONCE)
 
 

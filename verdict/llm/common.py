@@ -20,9 +20,19 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 
+#: Bytes of an Arrow batch between Spark and a Python worker, where the session names no bound of its own.
+BATCH = 4 << 20
+
 _made: list[str] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so that those of long texts take no more memory than those of short ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share; one of this machine only in local mode where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
