@@ -171,6 +171,22 @@ def test_languages_of_held_out_and_switched_texts(spark, sf_dir):
     assert (marginal == want).mean() > 0.9
 
 
+def test_languages_of_long_runs(spark):
+    rng = random.Random(12)
+    letters = {"aa": "abcdefgh", "bb": "stuvwxyz", "ja": "あいうえおかきく", "zh": "中文字我你他是的"}
+    rows = [(i, "".join(rng.choices(letters[lang], k=300)), lang) for i, lang in enumerate(sorted(letters) * 12)]
+    rows = [(i, t if lang > "c" else " ".join(t[j : j + 6] for j in range(0, 300, 6)), lang) for i, t, lang in rows]
+    model = language.fit(spark.createDataFrame(rows, "id long, text string, lang string"))
+    tail, han, kana = "abcdefgh" * 3 + "zyxwvuts" * 60, letters["zh"] * 5, letters["ja"] * 5
+    got = language.predict(model, [tail, han + kana, "x" * 24 + "abcdefgh" * 60], {})
+    assert got[0][0] == "bb" and got[1][2] == {"zh": 40, "ja": 40} and got[2][0] == "aa"
+    assert language.words_of("Ab中文c ไทย9") == ["ab", "中", "文", "c", "ไ", "ท", "ย"]
+    (long, (n,)), (short, _) = language.features(["q" * 70 + "heit"]), language.features(["xheit"])
+    assert n == len(long) == 2 * 76 + 2 and (long[3:5] == short[3:5]).all()
+    together = language.features(["q" * 70 + "heit", "a", "xheit"])
+    assert (together[0] == np.concatenate([long, language.features(["a"])[0], short])).all()
+
+
 def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(8)
     scores, move = rng.normal(size=(7, 3)), rng.normal(size=(3, 3))

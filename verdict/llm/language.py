@@ -1,6 +1,7 @@
 """Language of each word and document by a linear-chain conditional random field.
 
-A word's features are its affixes, character n-grams of two and three, and the word itself (the
+A word is a run of letters; in scripts written without spaces every letter is a word of its own.
+A word's features are its affixes, all its character n-grams of two and three, and the word itself (the
 lexicon), hashed into ``FEATURES`` rows of weights, one column for each language. A learned
 matrix scores the transitions between the languages of neighbouring words. Forward-backward
 gives every word's probabilities; a document's are their mean.
@@ -31,14 +32,22 @@ STRETCH = 40
 #: Stretches of a document at most, drawn from its whole text.
 STRETCHES = 20
 STEPS = 25
-#: Characters of a word with its marks, and words whose features are made at once.
-WIDTH = 26
-PART = 10_000
-#: Characters worked on at once inside a task, and word scores a task remembers.
+#: Letters of words, marks included, whose features are made at once; a longer word is made alone.
+PART = 260_000
+#: Characters and words worked on at once inside a task, and weights summed at once.
 CHUNK = 2_000_000
+UNITS = 400_000
+SUMMED = 4_000_000
+#: Word scores a task remembers, and letters of a remembered word at most.
 REMEMBERED = 80_000
+REMEMBERED_LETTERS = 64
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Scripts written without spaces: Thai, Lao, Burmese, Khmer, Tai, Balinese, Javanese, kana, bopomofo, Han, Yi.
+_UNSPACED = (
+    "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u1b00-\u1b7f\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff"
+    "\u3400-\u4dbf\u4e00-\ua4cf\ua980-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U0001aff0-\U0001b16f\U00020000-\U0003ffff"
+)
+_WORD = re.compile(rf"[^\W\d_{_UNSPACED}]+|(?=[^\W\d_])[{_UNSPACED}]")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -46,10 +55,14 @@ def words_of(text: str | None) -> list[str]:
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of weights of each word, word after word, and how many a word has; long words by their first letters."""
-    text = np.array([f"<{w[: WIDTH - 2]}>" for w in words], dtype=f"U{WIDTH}")
-    c = text.view(np.uint32).reshape(len(words), WIDTH).astype(np.uint64)
-    length = (c > 0).sum(axis=1)
+    """Rows of weights of each word, word after word, and how many a word has."""
+    length = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    c = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    start = np.cumsum(length) - length
+    sizes = 2 * length + 2
+    begin = np.cumsum(sizes) - sizes
+    word = np.repeat(np.arange(len(words)), length)
+    place = np.arange(len(c)) - start[word]
 
     def gram(chars: list[np.ndarray], salt: int) -> np.ndarray:
         h = np.full(chars[0].shape, salt, np.uint64)
@@ -57,33 +70,46 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h = mix(h ^ x)
         return h
 
-    at = np.arange(len(words))
-    ends = [np.maximum(length - k, 0) for k in (4, 3, 2, 1)]
-    last = [c[at, e] for e in ends]
-    hashes = [gram([c[:, i] for i in range(WIDTH)], 1)[:, None]]
-    hashes += [gram(x, salt)[:, None] for salt, x in ((2, [c[:, i] for i in range(3)]), (3, [c[:, i] for i in range(4)]), (4, last[1:]), (5, last))]
-    hashes += [gram([c[:, :-1], c[:, 1:]], 6), gram([c[:, :-2], c[:, 1:-1], c[:, 2:]], 7)]
-    place = np.arange(WIDTH)
-    there = np.concatenate([np.ones((len(words), 5), bool), place[None, 1:] < length[:, None], place[None, 2:] < length[:, None]], axis=1)
-    return (np.concatenate(hashes, axis=1)[there] % np.uint64(FEATURES)).astype(np.int32), there.sum(axis=1)
+    first = [c[start + k] for k in range(3)]
+    fourth = np.where(length > 3, c[start + np.minimum(3, length - 1)], np.uint64(0))
+    last = [c[start + np.maximum(length - k, 0)] for k in (4, 3, 2, 1)]
+    hashes = np.empty(int(sizes.sum()), np.uint64)
+    hashes[begin] = mix(np.add.reduceat(mix(mix(place.astype(np.uint64)) ^ c), start) ^ np.uint64(1))
+    for k, (salt, chars) in enumerate(((2, first), (3, [*first, fourth]), (4, last[1:]), (5, last)), 1):
+        hashes[begin + k] = gram(chars, salt)
+    at = np.flatnonzero(place + 1 < length[word])
+    hashes[begin[word[at]] + 5 + place[at]] = gram([c[at], c[at + 1]], 6)
+    at = np.flatnonzero(place + 2 < length[word])
+    hashes[begin[word[at]] + 4 + length[word[at]] + place[at]] = gram([c[at], c[at + 1], c[at + 2]], 7)
+    return (hashes % np.uint64(FEATURES)).astype(np.int32), sizes
+
+
+def parts_of(words: list[str]):
+    """Stretches of words of at most PART letters, or single words."""
+    for a, b in slices(np.fromiter((len(w) + 2 for w in words), np.int64, len(words)), PART):
+        yield words[a:b]
 
 
 class Lexicon:
     """Feature rows of distinct words, to be summed by word."""
 
     def __init__(self, words: list[str]):
-        parts = [features(words[i : i + PART]) for i in range(0, len(words), PART)] or [(np.empty(0, np.int32), np.empty(0, np.int64))]
+        parts = [features(part) for part in parts_of(words)] or [(np.empty(0, np.int32), np.empty(0, np.int64))]
         self.rows, self.sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
-        if not len(self.sizes):
-            return np.empty((0, weights.shape[1]))
-        return np.add.reduceat(weights[self.rows], self.starts, axis=0) / np.sqrt(self.sizes)[:, None]
+        out = np.zeros((len(self.sizes), weights.shape[1]))
+        word = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        step = max(1, SUMMED // max(1, weights.shape[1]))
+        for i in range(0, len(word), step):
+            part = word[i : i + step]
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            out[part[first]] += np.add.reduceat(weights[self.rows[i : i + step]], first, axis=0)
+        return out / np.sqrt(self.sizes)[:, None]
 
     def gradient(self, by_word: np.ndarray) -> np.ndarray:
-        each = np.repeat(by_word / np.sqrt(self.sizes)[:, None], self.sizes, axis=0)
-        return np.stack([np.bincount(self.rows, each[:, k], FEATURES) for k in range(by_word.shape[1])], axis=1)
+        each = by_word / np.sqrt(self.sizes)[:, None]
+        return np.stack([np.bincount(self.rows, np.repeat(each[:, k], self.sizes), FEATURES) for k in range(by_word.shape[1])], axis=1)
 
 
 def forward_backward(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, pairs: bool = False):
@@ -135,11 +161,10 @@ class Model:
         known = {} if known is None else known
         new = [w for w in kinds if w not in known]
         fresh: dict = {}
-        for i in range(0, len(new), PART):
-            part = new[i : i + PART]
+        for part in parts_of(new):
             fresh.update(zip(part, Lexicon(part).scores(self.weights).astype(np.float32), strict=True))
         if len(known) + len(fresh) <= REMEMBERED:
-            known.update(fresh)
+            known.update((w, x) for w, x in fresh.items() if len(w) <= REMEMBERED_LETTERS)
         table = np.array([fresh[w] if w in fresh else known[w] for w in kinds], np.float32).reshape(len(kinds), len(self.languages))
         return np.split(forward_backward(table[codes].astype(np.float64), sizes, self.transitions), np.cumsum(sizes)[:-1])
 
@@ -196,8 +221,7 @@ def fit(labelled: DataFrame) -> Model:
 def predict(model: Model, texts: list[str | None], known: dict) -> list[tuple[str, float, dict]]:
     """Language, score and words by language of each text; see label_documents."""
     out = []
-    for a, b in slices(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), CHUNK):
-        docs = [words_of(t) if model.languages else [] for t in texts[a:b]]
+    for docs in _together(texts if model.languages else [None] * len(texts)):
         for p in model.marginals(docs, known) if model.languages else [()] * len(docs):
             if not len(p):
                 out.append(("und", 0.0, {}))
@@ -209,6 +233,20 @@ def predict(model: Model, texts: list[str | None], known: dict) -> list[tuple[st
     return out
 
 
+def _together(texts: list[str | None]):
+    """Words of texts, lists of texts of at most CHUNK characters and UNITS words, or single texts."""
+    docs, chars, units = [], 0, 0
+    for text in texts:
+        words, n = words_of(text), len(text or "")
+        if docs and (chars + n > CHUNK or units + len(words) > UNITS):
+            yield docs
+            docs, chars, units = [], 0, 0
+        docs.append(words)
+        chars, units = chars + n, units + len(words)
+    if docs:
+        yield docs
+
+
 def label_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, words (a count for each language, by its most probable words).
 
