@@ -332,6 +332,20 @@ def test_licenses(spark, odd_docs):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_licence_texts_and_wrapped_notices(spark):
+    texts = licenses.TEXTS
+    wrapped = "/*\n * Redistribution and use in source and\n *\n * binary forms, with or without modification,\n * are permitted provided that the\n * following conditions are met\n */\n" + "int x;\n" * 80
+    files = [(i, f"{name}/LICENSE", "Copyright (c) 2020 Some One\n" + text) for i, (name, text) in enumerate(sorted(texts.items()))]
+    below = [(100 + i, f"{name}/src/a.c", "int main") for i, name in enumerate(sorted(texts))]
+    prose = " ".join("the of and to in a software work may be used by you for any purpose with the".split() * 40)
+    files += [*below, (200, "w/a.c", wrapped), (201, "w/b.c", "int y"), (202, "w/c.txt", prose)]
+    got = {r["file"]: (r["license"], r["how"]) for r in licenses.scan(spark.createDataFrame(files, "file long, path string, text string")).collect()}
+    assert got == {
+        **{i: (name, "own") for i, name in enumerate(sorted(texts))}, **{100 + i: (name, "inherited") for i, name in enumerate(sorted(texts))},
+        200: ("BSD-3-Clause", "own"), 201: (None, None), 202: (None, None),
+    }
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(13)
     pieces = [*chat.CONTROLS, "\\", "<", "[", "a", "é", "\n", "<\\", "[\\INST]", "|turn|>"]
