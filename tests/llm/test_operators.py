@@ -187,6 +187,16 @@ def test_languages_of_long_runs(spark):
     assert (together[0] == np.concatenate([long, language.features(["a"])[0], short])).all()
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(14)
+    names = [f"l{i:02}" for i in range(70)]
+    lexicons = {lang: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(20)] for lang in names}
+    rows = [(i, " ".join(rng.choices(lexicons[lang], k=15)), lang) for i, lang in enumerate(names * 3)]
+    model = language.fit(spark.createDataFrame(rows, "id long, text string, lang string"))
+    got = language.predict(model, [" ".join(lexicons[lang]) for lang in names], {})
+    assert [r[0] for r in got] == names
+
+
 def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(8)
     scores, move = rng.normal(size=(7, 3)), rng.normal(size=(3, 3))

@@ -8,7 +8,8 @@ gives every word's probabilities; a document's are their mean.
 
 Training: a bounded sample of documents. A word's label is its document's language. So
 that transitions are learned from switches, sequences are joined from stretches of different
-documents, ``STRETCH`` words each. The gradient of the log-likelihood is exact; steps are Adam's.
+documents, ``STRETCH`` words each. Every language of the labels is learned. The gradient of the
+log-likelihood is exact, summed over blocks of sequences; steps are Adam's.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from verdict.llm.common import give_back, mix, slices
 
 #: Documents of a language a model is fitted on at most, those of least hash of their id.
 SAMPLE = 150
-#: Learned languages at most: the most frequent ones.
-LANGUAGES = 64
 FEATURES = 1 << 15
 STRETCH = 40
 #: Stretches of a document at most, drawn from its whole text.
@@ -34,11 +33,13 @@ STRETCHES = 20
 STEPS = 25
 #: Letters of words, marks included, whose features are made at once; a longer word is made alone.
 PART = 260_000
-#: Characters and words worked on at once inside a task, and weights summed at once.
+#: Characters worked on at once inside a task, words times languages worked on at once there
+#: and in fitting, and weights summed at once.
 CHUNK = 2_000_000
-UNITS = 400_000
+CELLS = 1_600_000
+FITTED = 4_000_000
 SUMMED = 4_000_000
-#: Word scores a task remembers, and letters of a remembered word at most.
+#: Word scores a task remembers, fewer where there are more than four languages, and letters of a remembered word at most.
 REMEMBERED = 80_000
 REMEMBERED_LETTERS = 64
 
@@ -163,7 +164,7 @@ class Model:
         fresh: dict = {}
         for part in parts_of(new):
             fresh.update(zip(part, Lexicon(part).scores(self.weights).astype(np.float32), strict=True))
-        if len(known) + len(fresh) <= REMEMBERED:
+        if (len(known) + len(fresh)) * max(4, len(self.languages)) <= 4 * REMEMBERED:
             known.update((w, x) for w, x in fresh.items() if len(w) <= REMEMBERED_LETTERS)
         table = np.array([fresh[w] if w in fresh else known[w] for w in kinds], np.float32).reshape(len(kinds), len(self.languages))
         return np.split(forward_backward(table[codes].astype(np.float64), sizes, self.transitions), np.cumsum(sizes)[:-1])
@@ -172,44 +173,38 @@ class Model:
 def fit(labelled: DataFrame) -> Model:
     """A model from rows (id, text, lang). Null texts and languages, and texts without letters, are ignored."""
     rows = labelled.filter("text is not null and lang is not null and text rlike '\\\\p{L}'").withColumn("h", F.xxhash64("id"))
-    per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).toPandas()
+    per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toPandas()
     languages = sorted(per["lang"])
     rng = np.random.default_rng(5)
     if not languages:
         return Model([], np.zeros((FEATURES, 0)), np.zeros((0, 0)))
     # A hash mark of its own for each language keeps about SAMPLE rows, with a margin; then the least are taken.
-    keep = F.lit(False)
-    for lang, n in zip(per["lang"], per["n"], strict=True):
-        share = min(1.0, 2 * SAMPLE / n)
-        keep = keep | ((F.col("lang") == lang) & (F.col("h") <= min(int((share - 0.5) * 2**64), 2**63 - 1)))
-    ranked = rows.filter(keep).select("lang", "text", "h").withColumn("r", F.expr("row_number() over (partition by lang order by h)"))
+    marks = [(lang, min(int((min(1.0, 2 * SAMPLE / n) - 0.5) * 2**64), 2**63 - 1)) for lang, n in zip(per["lang"], per["n"], strict=True)]
+    # One row for each language.
+    mark = F.broadcast(labelled.sparkSession.createDataFrame(marks, "lang string, mark long"))
+    ranked = rows.join(mark, "lang").filter("h <= mark").select("lang", "text", "h").withColumn("r", F.expr("row_number() over (partition by lang order by h)"))
     sample = ranked.filter(F.col("r") <= SAMPLE).orderBy("lang", "r").select("lang", "text").toPandas()
+    place = {lang: k for k, lang in enumerate(languages)}
     parts = []
     for lang, text in zip(sample["lang"], sample["text"], strict=True):
-        ws, k = words_of(text), languages.index(lang)
+        ws, k = words_of(text), place[lang]
         starts = np.arange(0, len(ws), STRETCH)
         parts += [(k, ws[i : i + STRETCH]) for i in rng.permutation(starts)[:STRETCHES]]
     parts = [parts[i] for i in rng.permutation(len(parts))]
-    labels = np.array([k for k, ws in parts for _ in ws])
-    flat = np.empty(len(labels), dtype=object)
-    flat[:] = [w for _, ws in parts for w in ws]
-    codes, kinds = pd.factorize(flat)
-    lexicon = Lexicon(list(kinds))
-    lengths = np.array([len(ws) for _, ws in parts])
-    sizes = np.add.reduceat(lengths, np.arange(0, len(lengths), 6)) if len(lengths) else lengths
-    ends = np.cumsum(sizes)
-    inside = np.ones(len(labels), bool)
-    inside[(ends - sizes)] = False
-    seen = np.zeros((len(languages),) * 2)
-    np.add.at(seen, (labels[np.flatnonzero(inside) - 1], labels[inside]), 1)
-    gold = np.eye(len(languages))[labels]
-    w, a = np.zeros((FEATURES, len(languages))), np.zeros_like(seen)
+    joined = [parts[i : i + 6] for i in range(0, len(parts), 6)]
+    lengths = np.array([sum(len(ws) for _, ws in sequence) for sequence in joined], np.int64)
+    blocks = [_Block(joined[i:j], len(languages)) for i, j in slices(lengths, max(1, FITTED // len(languages)))]
+    total = int(lengths.sum())
+    seen = sum(block.seen for block in blocks)
+    w, a = np.zeros((FEATURES, len(languages))), np.zeros((len(languages),) * 2)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, a)]
-    for step in range(1, STEPS + 1):
-        marginal, expected, _ = forward_backward(lexicon.scores(w)[codes], sizes, a, pairs=True)
-        error = marginal - gold
-        by_word = np.stack([np.bincount(codes, error[:, k], len(kinds)) for k in range(len(languages))], axis=1)
-        for x, grad, (m, v) in ((w, lexicon.gradient(by_word) / len(labels) + 1e-6 * w, moments[0]), (a, (expected - seen) / len(labels), moments[1])):
+    for step in range(1, (STEPS if blocks else 0) + 1):
+        of_words, expected = blocks[0].gradient(w, a)
+        for block in blocks[1:]:
+            more, pairs = block.gradient(w, a)
+            of_words += more
+            expected += pairs
+        for x, grad, (m, v) in ((w, of_words / total + 1e-6 * w, moments[0]), (a, (expected - seen) / total, moments[1])):
             m *= 0.9
             m += 0.1 * grad
             v *= 0.99
@@ -218,10 +213,34 @@ def fit(labelled: DataFrame) -> Model:
     return Model(languages, w, a)
 
 
+class _Block:
+    """Sequences of stretches (label, words) whose share of the gradient is made at once."""
+
+    def __init__(self, sequences: list[list[tuple[int, list[str]]]], languages: int):
+        self.labels = np.array([k for sequence in sequences for k, ws in sequence for _ in ws])
+        flat = np.empty(len(self.labels), dtype=object)
+        flat[:] = [w for sequence in sequences for _, ws in sequence for w in ws]
+        self.codes, kinds = pd.factorize(flat)
+        self.lexicon = Lexicon(list(kinds))
+        self.sizes = np.array([sum(len(ws) for _, ws in sequence) for sequence in sequences])
+        inside = np.ones(len(self.labels), bool)
+        inside[np.cumsum(self.sizes) - self.sizes] = False
+        self.seen = np.zeros((languages,) * 2)
+        np.add.at(self.seen, (self.labels[np.flatnonzero(inside) - 1], self.labels[inside]), 1)
+
+    def gradient(self, w: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By feature and language, and the expected number of each transition."""
+        error, expected, _ = forward_backward(self.lexicon.scores(w)[self.codes], self.sizes, a, pairs=True)
+        error[np.arange(len(error)), self.labels] -= 1
+        by_word = np.stack([np.bincount(self.codes, error[:, k], len(self.lexicon.sizes)) for k in range(len(a))], axis=1)
+        return self.lexicon.gradient(by_word), expected
+
+
 def predict(model: Model, texts: list[str | None], known: dict) -> list[tuple[str, float, dict]]:
     """Language, score and words by language of each text; see label_documents."""
     out = []
-    for docs in _together(texts if model.languages else [None] * len(texts)):
+    units = CELLS // max(1, len(model.languages))
+    for docs in _together(texts if model.languages else [None] * len(texts), units):
         for p in model.marginals(docs, known) if model.languages else [()] * len(docs):
             if not len(p):
                 out.append(("und", 0.0, {}))
@@ -233,12 +252,12 @@ def predict(model: Model, texts: list[str | None], known: dict) -> list[tuple[st
     return out
 
 
-def _together(texts: list[str | None]):
-    """Words of texts, lists of texts of at most CHUNK characters and UNITS words, or single texts."""
+def _together(texts: list[str | None], most: int):
+    """Words of texts, lists of texts of at most CHUNK characters and ``most`` words, or single texts."""
     docs, chars, units = [], 0, 0
     for text in texts:
         words, n = words_of(text), len(text or "")
-        if docs and (chars + n > CHUNK or units + len(words) > UNITS):
+        if docs and (chars + n > CHUNK or units + len(words) > most):
             yield docs
             docs, chars, units = [], 0, 0
         docs.append(words)
