@@ -1,6 +1,6 @@
 """A training-data pipeline over documents: each stage reads what the one before it kept.
 
-Rows that go: texts without a letter, and texts of no clear language (language); all but one document of
+Rows that go: texts without a letter, and texts whose words are of no clear language (language); all but one document of
 each group of near-duplicates (near_duplicates); what the mix leaves out (mixing), which also repeats rows.
 Personal data is masked in the texts. The last stage returns the pieces of packed sequences.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from verdict.llm import language, minhash, mixing, packing, pii
 from verdict.llm.common import fold, small_batches, stored, text_slices
 
-#: Mean probability of a document's language below which it is rejected.
+#: Mean of the greatest probability of each word below which a document is rejected.
 CLEAR = 0.4
 #: Bytes of text a packing worker holds at once, next to what earlier stages left in the executor.
 PACKED_AT_ONCE = 2_000_000
@@ -33,7 +33,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         for batch in batches:
             for a, b, texts in text_slices(batch.column(text), language.CHUNK):
                 seen = language.predict(shared.value, texts, known)
-                clear = [not shared.value.languages or (lang != "und" and score >= CLEAR) for lang, score, _ in seen]
+                clear = [not shared.value.languages or (lang != "und" and certain >= CLEAR) for lang, _, _, certain in seen]
                 yield batch.slice(a, b - a).filter(pa.array(clear, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -187,6 +187,18 @@ def test_languages_of_long_runs(spark):
     assert (together[0] == np.concatenate([long, language.features(["a"])[0], short])).all()
 
 
+def test_switched_texts_stay_and_unclear_ones_go(spark, monkeypatch):
+    rng = random.Random(15)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=6)) for _ in range(40))
+    letters = ["abcde", "fghij", "klmno", "pqrst"]
+    rows = [(i, text(letters[i % 4]), f"l{i % 4}") for i in range(60)] + [(100, " ".join(map(text, letters)), None), (101, "12 34", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {*range(60), 100}
+    flat = language.Model(["a", "b", "c", "d"], np.zeros((language.FEATURES, 4)), np.zeros((4, 4)))
+    monkeypatch.setattr(language, "fit", lambda _: flat)
+    assert corpus_pipeline.identify_language(spark, docs, "").count() == 0
+
+
 def test_every_language_is_learned(spark):
     rng = random.Random(14)
     names = [f"l{i:02}" for i in range(70)]

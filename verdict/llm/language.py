@@ -236,19 +236,19 @@ class _Block:
         return self.lexicon.gradient(by_word), expected
 
 
-def predict(model: Model, texts: list[str | None], known: dict) -> list[tuple[str, float, dict]]:
-    """Language, score and words by language of each text; see label_documents."""
+def predict(model: Model, texts: list[str | None], known: dict) -> list[tuple[str, float, dict, float]]:
+    """Language, score and words by language of each text, see label_documents, and the mean of its words' greatest probabilities."""
     out = []
     units = CELLS // max(1, len(model.languages))
     for docs in _together(texts if model.languages else [None] * len(texts), units):
         for p in model.marginals(docs, known) if model.languages else [()] * len(docs):
             if not len(p):
-                out.append(("und", 0.0, {}))
+                out.append(("und", 0.0, {}, 0.0))
                 continue
             mean = p.mean(axis=0)
             k = int(mean.argmax())
             counts = np.bincount(p.argmax(axis=1), minlength=len(mean))
-            out.append((model.languages[k], float(min(mean[k], 1.0)), {model.languages[i]: int(c) for i, c in enumerate(counts) if c}))
+            out.append((model.languages[k], float(min(mean[k], 1.0)), {model.languages[i]: int(c) for i, c in enumerate(counts) if c}, float(p.max(axis=1).mean())))
     return out
 
 
@@ -280,7 +280,7 @@ def label_documents(docs: DataFrame, model: Model) -> DataFrame:
     def run(frames):
         known = {}
         for pdf in frames:
-            langs, scores, words = zip(*predict(shared.value, pdf["text"].to_list(), known), strict=True) if len(pdf) else ((), (), ())
+            langs, scores, words, _ = zip(*predict(shared.value, pdf["text"].to_list(), known), strict=True) if len(pdf) else ((), (), (), ())
             give_back()
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": pd.Series(langs, dtype=object), "score": scores, "words": pd.Series(words, dtype=object)})
 
