@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdict.llm import ann, chat, language, licenses, minhash, mixing, packing, pii, toxicity, vector_dedup
+from verdict.llm import ann, bpe, chat, language, licenses, minhash, mixing, packing, pii, ranked, toxicity, vector_dedup, whiten
 from verdict.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,10 +91,44 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(given.unionByName(more)))
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(ranked.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 _CONTROL = r"([<\[])(\\*)(\|(turn|text|end|image|audio|document|im_start|im_end|startoftext|endoftext)\|>|/?s>|/?INST\]|<SYS>>|</SYS>>)"
 
 ORACLES: dict[str, str] = {
+    "op12_ranked_search": r"""
+WITH t AS (
+  SELECT row_number() OVER () AS doc, doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+d AS (SELECT doc, any_value(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY doc),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+m AS (SELECT doc, doc_id, 75 + (25 * n * docs) // terms AS m FROM d, g),
+p AS (SELECT doc, term, count(*) AS tf FROM t GROUP BY doc, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY term, docs),
+b AS (SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+q AS (SELECT item, item_id, term, count(*) AS times FROM b GROUP BY ALL),
+s AS (SELECT item, item_id, doc, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+""",
     "op7_mixing": rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0) AS BIGINT) AS size,
