@@ -267,6 +267,10 @@ ORACLES["stream_batches"] = """
 SELECT COUNT(*) AS completed, CAST(0 AS BIGINT) AS failed, 2 * COUNT(*) AS stored,
   CAST(0 AS BIGINT) AS rejected FROM documents"""
 
+ORACLES["bounded_batches"] = """
+SELECT n // 300 AS batch_id, COUNT(*) AS completed, 2 * COUNT(*) AS stored
+FROM (SELECT ROW_NUMBER() OVER () - 1 AS n FROM documents) GROUP BY n // 300"""
+
 ORACLES["batch_outcome"] = """
 SELECT doc_id // 8 AS batch_id, COUNT(*) FILTER (doc_id % 7 < 3) AS completed,
   COUNT(*) FILTER (doc_id % 7 >= 3) AS failed

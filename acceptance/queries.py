@@ -37,6 +37,7 @@ from verdict.plans.routing import dead_letters, expand_steps, message_outcomes,
 from verdict.plans.runner import bind_inputs, run_plans
 from verdict.session import prepare_session, scratch_dir
 from verdict.sources.corpus import read_labelled_csv, write_labelled_csv
+from verdict.sources.message_stream import stream_bounded
 from verdict.sources.messages import (
     peek_message,
     publish,
@@ -46,7 +47,7 @@ from verdict.sources.messages import (
     stream_messages,
 )
 from verdict.sources.results import RESULT_SCHEMA, append_results, create_results_table, read_outcomes
-from verdict.streaming.pipeline import batch_totals, score_stream
+from verdict.streaming.pipeline import batch_totals, drain, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -444,6 +445,22 @@ def stream_batches(spark, sf_dir):
     return batch_totals(spark.read.parquet(_stream(spark, sf_dir) + "/batches"))
 
 
+@query
+def bounded_batches(spark, sf_dir):
+    """Messages of one file, taken 300 a batch: how many each batch completed."""
+    where = scratch_dir(spark, "bounded")
+    publish(given.messages(spark, sf_dir).coalesce(1), f"{where}/messages")
+    bodies = stream_bounded(spark, f"{where}/messages", f"{where}/log", 300)
+    drain(
+        score_stream(
+            bodies, given.PLANS[:1], given.steps(), out=where, checkpoint=f"{where}/checkpoint",
+            once=False, interval="0 seconds",
+        )
+    )
+    counts = spark.read.parquet(f"{where}/batches")
+    return counts.select(F.col("batch_id").cast("bigint").alias("batch_id"), "completed", "stored")
+
+
 @query
 def csv_corpus(spark, sf_dir):
     """The corpus written as CSV, half of it with other columns first, and read back."""
