@@ -152,10 +152,39 @@ def test_toxicity_on_held_out_rows(spark, sf_dir):
     folder = sf_dir.replace("sf0.001", "sf0.1")
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     learned = docs.filter(fold() != 0).join(labels, "doc_id").select(F.col("doc_id").alias("id"), "text", F.col("toxic").alias("label"))
-    scored = toxicity.score_documents(docs.filter(fold() == 0), toxicity.fit(learned)).join(labels, "doc_id").collect()
-    hits = sum(r["score"] >= 0.5 and r["toxic"] == 1 for r in scored)
-    assert hits >= 0.65 * sum(r["toxic"] for r in scored)
-    assert hits >= 0.85 * sum(r["score"] >= 0.5 for r in scored)
+    model = toxicity.fit(learned)
+    scored = toxicity.score_documents(docs.filter(fold() == 0), model).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    hit = collections.Counter((r["lang"], r["score"] >= 0.5) for r in scored if r["toxic"] == 1)
+    assert sum(n for (_, found), n in hit.items() if found) >= 0.9 * hit.total()
+    assert hit.total() - sum(n for (_, found), n in hit.items() if not found) >= 0.95 * sum(r["score"] >= 0.5 for r in scored)
+    for lang in ("en", "de", "fr", "es"):
+        assert hit[lang, True] >= 0.8 * (hit[lang, True] + hit[lang, False])
+    # More evidence or denser evidence never lowers a score.
+    grid = [[model.probability(e, d) for d in (0, 0.1, 1, 10)] for e in (0, 0.5, 5, 50)]
+    assert all(x <= y for row in grid for x, y in itertools.pairwise(row)) and all(x <= y for col in zip(*grid) for x, y in itertools.pairwise(col))
+
+
+def test_different_texts_are_learned_apart(spark):
+    """Texts of one label that share almost all tokens all count; equal sets of tokens count once."""
+    same = " ".join(f"w{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9))
+    rows = [(i, f"{same} calm{chr(97 + i % 20)}", 0) for i in range(60)] + [(100 + i, f"{same} nasty plainly{chr(97 + i % 20)}", 1) for i in range(60)]
+    model = toxicity.fit(spark.createDataFrame(rows + rows[:1] * 30, "id long, text string, label int"))
+    assert model.score("nasty") > 1
+    assert model.segments(toxicity.tokens("all calm here nasty nasty words")) != []
+
+
+def test_clearest_units_and_calibration():
+    model = toxicity.Model({"lovely": (-1.0, 5.0), "love*": (2.0, 3.0), "vile*": (4.0, 6.0)}, drift=-0.5, rate=1.5, log_k=-2.0, curve=(-2.0, 1.0, 1.0))
+    assert [model.score(w) for w in ("lovely", "lovers", "vile", "vileness", "x")] == [-1.0, 2.0, None, 4.0, None]
+    words = toxicity.tokens("a vileness of lovers")
+    evidence, density, strong = model.features(words)
+    # vileness, of, lovers: 4 - 0.5 + 2 in one segment.
+    assert [(b, e, s) for b, e, s, _ in strong] == [(1, 4, 5.5)]
+    assert abs(evidence - (1.5 * 5.5 + 2 - np.log(4))) < 1e-12 and abs(density - evidence / 2) < 1e-12
+    assert abs(model.probability(evidence, density) - 1 / (1 + np.exp(2 - np.log1p(evidence) - np.log1p(density)))) < 1e-12
+    scores = np.array([2.0, -1.0, -0.5])
+    weights = np.array([0.1, 0.2, 0.7])
+    assert abs((weights * np.exp(toxicity._rate(scores, weights) * scores)).sum() - 1) < 1e-9
 
 
 def test_languages_of_held_out_and_switched_texts(spark, sf_dir):

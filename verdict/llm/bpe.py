@@ -80,9 +80,10 @@ class Coder:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.cut, self.letter, self.blank = regex.compile(pattern), regex.compile(r"\p{L}"), regex.compile(r"\s+")
-        # Without the look-ahead DuckDB can cut, and white space before other text is set right after it.
+        # Where all parts are endings or runs that a blank may lead, DuckDB cuts without the look-ahead, and white space
+        # before other text is set right after it.
         head, look, tail = pattern.partition(r"\s+(?!\S)|")
-        plain = look and tail == r"\s+" and "(?" not in head
+        plain = look and tail == r"\s+" and all(regex.fullmatch(r"'[a-z]+| \?(\\p\{\w\}|\[[^\[\]]+\])\+|", part) for part in head.split("|"))
         self.quick = (head + tail).replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]") if plain else None
         self.first = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         rows = [(ranks[t[:k]], ranks[t[k:]], rank) for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]

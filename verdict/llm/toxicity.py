@@ -1,26 +1,31 @@
 """Toxic passages: maximum-scoring segments of token log-odds, with extreme-value calibration.
 
-Fit: the labelled documents that hold a token, counted by label, give its log-odds with an
-informative Dirichlet prior (the rate of both labels together, worth ``PRIOR`` documents, and
-half a document for every token). Documents that share the two least hashes of their
-tokens count once for a label, so copies of a text are not taken for many. Tokens whose log-odds
-lie at least ``Z`` standard errors from zero keep them; all others share one negative score,
-so that ordinary text drifts downward.
+Units of a token are itself and its first 4, 5 and 6 letters, so that words that share a stem tell of one another. Fit:
+the labelled documents that hold a unit, counted by label, give its log-odds with an informative Dirichlet prior (the rate
+of both labels together, worth ``PRIOR`` documents, and half a document for every unit). Documents of a label with equal
+sets of tokens count once, so copies of a text are not taken for many. Units whose log-odds lie at
+least z standard errors from zero keep them, above or below. A token takes the score of its clearest unit; tokens
+without one share one negative score, so that ordinary text drifts downward.
 
 Score: a linear scan finds all maximal segments of a text: disjoint runs of tokens whose sum no
 longer or shorter run beats. Chance segments of a text of n tokens reach a sum of s with a
 probability of about 1 - exp(-K n e^(-lambda s)). lambda solves the moment equation of the
 token scores in ordinary text, K is fitted to the best segments of ordinary documents. A
 segment counts by its evidence, lambda s - log(K n), where that is positive. The sum over
-segments and their density go through a logistic curve fitted to the labels.
+segments and their density go through a logistic curve fitted to the labels, which never falls as either grows.
+
+z is the one of ``MARKS`` whose models, each fitted without a fold of the labelled documents, predict that fold best.
+
+Bounds: a model is fitted on ``SAMPLE`` labelled rows at most, those of least hash of their id. The driver takes units that are
+near the least mark, and a few numbers of each of these documents, no texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -32,9 +37,15 @@ from verdict.llm.common import stored
 #: Labelled documents a model is fitted on at most, those of least hash of their id.
 SAMPLE = 20_000
 PRIOR = 20.0
-Z = 4.0
-#: Least count of a token that can have a score of its own.
-LEAST = 5
+#: Standard errors of which one becomes the mark, and the folds that decide.
+MARKS = (2.5, 3.0, 3.5, 4.0, 5.0)
+FOLDS = 3
+#: Letters of the beginnings of a token that are units.
+STARTS = (4, 5, 6)
+#: Least count of a unit that can have a score of its own.
+LEAST = 4
+#: Tokens whose scores a worker remembers, a bound on memory only.
+KNOWN = 500_000
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -43,15 +54,18 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower()) if text else []
 
 
-def log_odds(counts: pd.DataFrame, docs0: int, docs1: int) -> dict[str, float]:
-    """Scores of tokens (token, n0, n1: documents that hold it) whose log-odds for label 1 are clearly not zero."""
-    n0, n1 = counts["n0"].to_numpy(float), counts["n1"].to_numpy(float)
+def units(token: str) -> list[str]:
+    """The token and its beginnings, which end with a star."""
+    return [token, *(f"{token[:k]}*" for k in STARTS if len(token) > k)]
+
+
+def log_odds(n0: np.ndarray, n1: np.ndarray, docs0: float, docs1: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds for label 1 of units held by n0 and n1 documents of the labels, and how many standard errors they are from zero."""
     prior = 0.5 + (n0 + n1) / max(docs0 + docs1, 1) * PRIOR
     a, b = n1 + prior, n0 + prior
     total0, total1 = (docs + PRIOR + 1 for docs in (docs0, docs1))
     delta = np.log(a / np.maximum(total1 - a, 0.5)) - np.log(b / np.maximum(total0 - b, 0.5))
-    clear = (np.abs(delta) >= Z * np.sqrt(1 / a + 1 / b)) & (n0 + n1 >= LEAST)
-    return dict(zip(counts["token"][clear], delta[clear].tolist(), strict=True))
+    return delta, delta / np.sqrt(1 / a + 1 / b)
 
 
 def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
@@ -83,29 +97,44 @@ def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[tupl
 
 @dataclass
 class Model:
-    """Token scores, drift, extreme-value parameters and the logistic curve."""
-
-    scores: dict[str, float]
-    drift: float
-    rate: float
-    log_k: float
-    curve: tuple[float, float, float]
+    """Scores of units and their standard errors from zero, drift, extreme-value parameters and the logistic curve."""
+
+    units: dict[str, tuple[float, float]]
+    drift: float = -0.05
+    rate: float = 1.0
+    log_k: float = 0.0
+    curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    known: dict[str, float | None] = field(default_factory=dict, repr=False)
+
+    def score(self, token: str) -> float | None:
+        """The score of the token's clearest unit; of equally clear ones, of the longest."""
+        known = self.known
+        if token not in known:
+            if len(known) >= KNOWN:
+                known.clear()
+            found = [u for name in units(token) if (u := self.units.get(name))]
+            known[token] = max(found, key=lambda u: u[1])[0] if found else None
+        return known[token]
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
-        get = self.scores.get
-        own = [(i, s) for i, w in enumerate(words) if (s := get(w)) is not None]
+        return self.segments_of([(i, s) for i, w in enumerate(words) if (s := self.score(w)) is not None])
+
+    def segments_of(self, own: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
+        """Segments of a text whose tokens with a score are own: (position, score)."""
         return maximal_segments(own, self.drift) if own else []
 
     def features(self, words: list[str]) -> tuple[float, float, list]:
         """Evidence, evidence by length, and the segments that count."""
         if not words:
             return 0.0, 0.0, []
-        least = self.log_k + np.log(len(words))
-        strong = [(b, e, s, self.rate * s - least) for b, e, s in self.segments(words)]
+        strong = [(b, e, s, self.evidence(s, len(words))) for b, e, s in self.segments(words)]
         strong = [x for x in strong if x[3] > 0]
         evidence = float(sum(x[3] for x in strong))
         return evidence, evidence / len(words) ** 0.5, strong
 
+    def evidence(self, total: float, n: int) -> float:
+        return self.rate * total - self.log_k - float(np.log(n))
+
     def probability(self, evidence: float, density: float) -> float:
         a, b, c = self.curve
         return float(1 / (1 + np.exp(-np.clip(a + b * np.log1p(evidence) + c * np.log1p(density), -30, 30))))
@@ -148,55 +177,152 @@ def fit(labelled: DataFrame) -> Model:
 
     def signed(frames):
         for pdf in frames:
-            least = [sorted(map(zlib.crc32, {w.encode() for w in tokens(t)}))[:2] for t in pdf["text"]]
-            yield pdf[["text", "label", "h"]].assign(a=[x[0] if x else -1 for x in least], b=[x[-1] if x else -1 for x in least])
+            marks = [hashlib.md5("\n".join(sorted(set(tokens(t)))).encode()).hexdigest() for t in pdf["text"]]
+            yield pdf[["text", "label", "h"]].assign(mark=marks)
+
+    plain = rows.select("text", F.expr("cast(label = 1 as int)").alias("label"), "h")
+    once = plain.mapInPandas(signed, "text string, label int, h long, mark string").groupBy("label", "mark").agg(F.min_by("text", "h").alias("text"))
+    once = stored(once.select("text", "label", F.expr(f"pmod(xxhash64(mark), {FOLDS})").cast("int").alias("fold")), "labelled")
+    docs = np.zeros((FOLDS, 2))
+    for fold, label, n in once.groupBy("fold", "label").count().collect():
+        docs[fold, label] = n
+    models = _models(once, docs)
+    _drifts(once, models)
+    seen = _best_segments(once, models)
+
+    def finished(i: int, held: int) -> np.ndarray:
+        """Complete model i by the documents of other folds; the probabilities of those of this one."""
+        model, label, n = models[i], seen["label"].to_numpy(), seen["n"].to_numpy(float)
+        inside = (seen["fold"] != held).to_numpy()
+        sums = [s[i] for s in seen["sums"]]
+        top = np.array([max(s, default=0.0) for s in sums])
+        ordinary = inside & (label != 1) & (n > 0)
+        # Half of all ordinary texts have a best segment below log(K n / log 2) / rate.
+        if ordinary.any():
+            model.log_k = float(np.quantile(model.rate * top[ordinary] - np.log(n[ordinary]), 0.9) + np.log(-np.log(0.9)))
+        evidence = np.array([sum(max(model.evidence(t, k), 0.0) for t in s) if k else 0.0 for s, k in zip(sums, n, strict=True)])
+        x = np.column_stack((np.log1p(evidence), np.log1p(evidence / np.maximum(n, 1) ** 0.5))) if len(n) else np.empty((0, 2))
+        model.curve = _curve(x[inside], (label[inside] == 1).astype(float))
+        return model.curve[0] + x[~inside] @ np.array(model.curve[1:])
+
+    losses = np.zeros(len(MARKS))
+    for held in range(FOLDS):
+        y = (seen["label"] == 1).to_numpy(float)[(seen["fold"] == held).to_numpy()]
+        for m in range(len(MARKS)):
+            losses[m] += np.logaddexp(0, np.where(y > 0, -1, 1) * finished(held * len(MARKS) + m, held)).sum()
+    best = FOLDS * len(MARKS) + int(losses.argmin())
+    finished(best, -1)
+    return models[best]
+
+
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Base and weights of the logistic curve; a feature that would lower the score is left out."""
+    if not len(y) or not 0 < y.sum() < len(y):
+        return ((2.0 if y.sum() else -2.0), 0.0, 0.0)
+    for use in ([0, 1], [1], [0], []):
+        w = _logistic(x[:, use], y)
+        if (w[1:] >= 0).all():
+            break
+    out = [float(w[0]), 0.0, 0.0]
+    for i, value in zip(use, w[1:], strict=True):
+        out[i + 1] = float(value)
+    return tuple(out)
+
+
+def _models(once: DataFrame, docs: np.ndarray) -> list[Model]:
+    """Unit scores without each fold and with all, for each mark: FOLDS + 1 times len(MARKS) models."""
 
     def counted(frames):
-        seen = (Counter(), Counter())
+        seen = Counter()
         for pdf in frames:
-            for text, label in zip(pdf["text"], pdf["label"], strict=True):
-                seen[int(label) == 1].update(set(tokens(text)))
-        every = list(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"token": pd.Series(every, dtype=object), "n0": [seen[0][w] for w in every], "n1": [seen[1][w] for w in every]})
-
-    plain_rows = rows.select("text", F.expr("cast(label = 1 as int)").alias("label"), "h")
-    once = plain_rows.mapInPandas(signed, "text string, label int, h long, a long, b long").groupBy("label", "a", "b").agg(F.min_by("text", "h").alias("text"))
-    once = stored(once.select("text", "label"), "labelled")
-    totals = once.agg(F.sum(1 - F.col("label")), F.sum("label")).first()
-    counts = once.mapInPandas(counted, "token string, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    common = counts.filter(F.col("n0") + F.col("n1") >= LEAST).toPandas()
-    scores = log_odds(common, totals[0] or 0, totals[1] or 0)
-    known = common[common["token"].isin(scores)]
-    # Tokens repeat inside a document; the share of documents' distinct tokens stands for that of tokens.
-    plain = max(float(common["n0"].sum()), 1.0)
-    weights = known["n0"].to_numpy(float) / plain
-    values = np.array([scores[w] for w in known["token"]])
-    drift = min(-0.05, -2 * float(weights @ np.maximum(values, 0)))
-    rate = _rate(np.append(values, drift), np.append(weights, max(1 - weights.sum(), 0))) if len(values) else 1.0
-    model = Model(scores, drift, rate, 0.0, (0.0, 0.0, 0.0))
+            for text, label, fold in zip(pdf["text"], pdf["label"], pdf["fold"], strict=True):
+                seen.update((u, 2 * fold + label) for u in {u for w in set(tokens(text)) for u in units(w)})
+        yield pd.DataFrame({"unit": pd.Series([u for u, _ in seen], dtype=object), "part": [p for _, p in seen], "n": list(seen.values())})
+
+    total = docs.sum(axis=0)
+    parts = once.mapInPandas(counted, "unit string, part int, n long").groupBy("unit")
+    counts = parts.agg(*[F.coalesce(F.sum(F.when(F.col("part") == p, F.col("n"))), F.lit(0)).cast("double").alias(f"p{p}") for p in range(2 * FOLDS)])
+    n0, n1 = ("(" + " + ".join(f"p{p}" for p in range(i, 2 * FOLDS, 2)) + ")" for i in (0, 1))
+    prior = f"(0.5D + ({n0} + {n1}) * {float(PRIOR / max(total.sum(), 1))!r}D)"
+    odds = [f"ln(({n} + {prior}) / greatest({t + PRIOR + 1!r}D - {n} - {prior}, 0.5D))" for n, t in ((n0, total[0].item()), (n1, total[1].item()))]
+    error = f"sqrt(1 / ({n0} + {prior}) + 1 / ({n1} + {prior}))"
+    # Units far from every mark are of no fold's model, but for chance.
+    near = counts.filter(f"{n0} + {n1} >= {LEAST} and abs({odds[1]} - {odds[0]}) >= {min(MARKS) - 0.5} * {error}").orderBy("unit").toPandas()
+    names, held = near["unit"].to_numpy(), near.drop(columns="unit").to_numpy(float).reshape(-1, FOLDS, 2)
+    models = []
+    for fold in [*range(FOLDS), None]:
+        own, of = held.sum(axis=1), total
+        if fold is not None:
+            own, of = own - held[:, fold], total - docs[fold]
+        delta, errors = log_odds(own[:, 0], own[:, 1], *of)
+        for mark in MARKS:
+            clear = (np.abs(errors) >= mark) & (own.sum(axis=1) >= LEAST)
+            models.append(Model(dict(zip(names[clear], zip(delta[clear].tolist(), np.abs(errors[clear]).tolist(), strict=True), strict=True))))
+    return models
+
+
+class _Scores:
+    """Scores of a token in several models at once; most tokens have none in any."""
+
+    def __init__(self, models: list[Model]):
+        self.models, self.every = models, set().union(*(m.units for m in models))
+        self.known: dict[str, tuple] = {}
+
+    def __call__(self, token: str) -> tuple:
+        """(model, score) of each model that has one."""
+        found = self.known.get(token)
+        if found is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            found = ()
+            if not self.every.isdisjoint(units(token)):
+                found = tuple((i, s) for i, m in enumerate(self.models) if (s := m.score(token)) is not None)
+            self.known[token] = found
+        return found
+
+
+def _drifts(once: DataFrame, models: list[Model]) -> None:
+    """Set drift and rate of each model by how often ordinary text shows its scores."""
+
+    def shown(frames):
+        total, seen, scores = 0, Counter(), _Scores(models)
+        for pdf in frames:
+            for text in pdf["text"]:
+                words = tokens(text)
+                total += len(words)
+                for word in words:
+                    if found := scores(word):
+                        seen.update(found)
+        rows = [(-1, 0.0, total), *((i, s, n) for (i, s), n in seen.items())]
+        yield pd.DataFrame(rows, columns=["model", "score", "n"])
+
+    ordinary = once.filter("label = 0").select("text").mapInPandas(shown, "model int, score double, n long")
+    counts = ordinary.groupBy("model", "score").agg(F.sum("n").alias("n")).orderBy("model", "score").toPandas()
+    total = max(float(counts["n"][counts["model"] == -1].sum()), 1.0)
+    for i, model in enumerate(models):
+        own = counts[counts["model"] == i]
+        values, weights = own["score"].to_numpy(), own["n"].to_numpy(float) / total
+        model.drift = min(-0.05, -2 * float(weights @ np.maximum(values, 0)))
+        if len(values):
+            model.rate = _rate(np.append(values, model.drift), np.append(weights, max(1 - weights.sum(), 0)))
+
+
+def _best_segments(once: DataFrame, models: list[Model]) -> pd.DataFrame:
+    """label, fold, n (tokens) and the sums of the segments of each model, for each document."""
 
     def best(frames):
+        scores = _Scores(models)
         for pdf in frames:
-            words = [tokens(t) for t in pdf["text"]]
-            sums = [[s for _, _, s in model.segments(w)] for w in words]
-            yield pd.DataFrame({"label": pdf["label"].astype("int32"), "n": [len(w) for w in words], "sums": sums})
-
-    seen = once.mapInPandas(best, "label int, n int, sums array<double>").toPandas()
-    ordinary = seen[(seen["label"] != 1) & (seen["n"] > 0)]
-    # Half of all ordinary texts have a best segment below log(K n / log 2) / rate.
-    top = np.array([max(s, default=0.0) for s in ordinary["sums"]])
-    if len(top):
-        model.log_k = float(np.quantile(rate * top - np.log(ordinary["n"].to_numpy(float)), 0.9) + np.log(-np.log(0.9)))
-    x = []
-    for n, sums in zip(seen["n"], seen["sums"], strict=True):
-        evidence = sum(max(rate * s - model.log_k - np.log(n), 0.0) for s in sums) if n else 0.0
-        x.append((np.log1p(evidence), np.log1p(evidence / max(n, 1) ** 0.5)))
-    y = (seen["label"] == 1).to_numpy(float)
-    if len(y) and 0 < y.sum() < len(y):
-        model.curve = tuple(_logistic(np.array(x), y).tolist())
-    else:
-        model.curve = ((-2.0 if not len(y) or y.sum() == 0 else 2.0), 0.0, 0.0)
-    return model
+            words, sums = [tokens(t) for t in pdf["text"]], []
+            for text in words:
+                own: list[list] = [[] for _ in models]
+                for at, word in enumerate(text):
+                    for i, score in scores(word):
+                        own[i].append((at, score))
+                sums.append([[s for _, _, s in m.segments_of(x)] for m, x in zip(models, own, strict=True)])
+            yield pd.DataFrame({"label": pdf["label"], "fold": pdf["fold"], "n": [len(w) for w in words], "sums": sums})
+
+    return once.mapInPandas(best, "label int, fold int, n int, sums array<array<double>>").toPandas()
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
