@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from acceptance import inputs as given
 from verdict.functions.text import reply_is_yes
 from verdict.functions.variants import with_strict_variant
-from verdict.operators import records
+from verdict.operators import models, records
 from verdict.operators.envelope import decode_messages, take_messages
 from verdict.operators.evaluate import accuracy_by_model as accuracy
 from verdict.operators.evaluate import row_correctness as correctness
@@ -26,6 +26,7 @@ from verdict.operators.outcomes import (
 )
 from verdict.operators.scoring import (
     ModelScorer,
+    PandasScorer,
     add_verdicts,
     echo_answer,
     one_row_per_model,
@@ -122,6 +123,52 @@ def score_fanout_model(spark, sf_dir):
     return _fanout(spark, sf_dir, scorers)
 
 
+@query
+def score_fanout_loaded(spark, sf_dir):
+    """Scorers whose pattern comes from a broadcast and is compiled once a worker."""
+    import re
+
+    def scorer(name, words):
+        shared = spark.sparkContext.broadcast(words)
+        return PandasScorer(
+            name,
+            setup=lambda: re.compile(rf"(?:^|[^a-z])(?:{'|'.join(shared.value)})(?:[^a-z]|$)"),
+            flag=lambda pattern, texts: texts.str.lower().str.contains(pattern),
+        )
+
+    return _fanout(spark, sf_dir, [scorer("lexicon_a", given.WORDS_A), scorer("lexicon_b", given.WORDS_B)])
+
+
+def _fitted(spark, sf_dir):
+    """A model of the toxic label, fitted without fold 0, kept in files and loaded; and the rows it knows labels of."""
+    where = scratch_dir(spark, "model")
+    rows = given.corpus(spark, sf_dir).filter("label IS NOT NULL").withColumn("fold", models.fold("id"))
+    models.save_model(models.fit_text_model(rows.filter("fold <> 0")), where)
+    return models.load_scorer("fitted", where), rows
+
+
+@query
+def fitted_model_rows(spark, sf_dir):
+    """Every document scored by a model fitted on labelled ones."""
+    scorer, _ = _fitted(spark, sf_dir)
+    return score_corpus(given.texts(spark, sf_dir), [scorer], carry=["id"])
+
+
+@query
+def fitted_model_quality(spark, sf_dir):
+    """Labelled documents a fitted model scored, and whether it was right for nine of ten of those it was fitted on
+    and for more than four of five of the others."""
+    scorer, rows = _fitted(spark, sf_dir)
+    scored = score_corpus(rows, [scorer], carry=["label", "fold"])
+    right, fitted = (F.col("flagged") == (F.col("label") == 1)).cast("int"), F.col("fold") != 0
+    return scored.agg(
+        F.count("*").alias("n"),
+        F.count_if("success").alias("answered"),
+        (F.avg(F.when(fitted, right)) >= 0.9).alias("fitted_well"),
+        (F.avg(F.when(~fitted, right)) > 0.8).alias("held_out_well"),
+    )
+
+
 @query
 def score_conversations(spark, sf_dir):
     return score_corpus(given.conversations(spark, sf_dir), given.scorers(), carry=["id"])

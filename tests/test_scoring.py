@@ -1,5 +1,7 @@
 """Scorers: native, pandas and ml forms, errors per row, the smoke gate, evaluation."""
 
+import os
+import uuid
 from dataclasses import replace
 
 import pandas as pd
@@ -9,6 +11,7 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from acceptance import inputs as given
+from verdict.operators import models
 from verdict.operators.evaluate import accuracy_by_model, row_correctness, score_labelled
 from verdict.operators.outcomes import score_messages
 from verdict.operators.scoring import (
@@ -187,3 +190,61 @@ def test_pandas_answers_are_booleans_or_nothing(spark):
         ("e", None, "ValueError"), ("f", None, "ValueError"), ("g", None, "KeyError"),
     }
     assert calls.value <= 2 * 7 + 1  # halves, not one text at a time
+
+
+def test_set_up_runs_once_a_worker(spark, tmp_path):
+    """Many tasks and batches, one set-up for each Python process; a large model comes by broadcast."""
+    where = str(tmp_path)
+    words = spark.sparkContext.broadcast(["bad"])
+
+    def setup():
+        with open(f"{where}/{uuid.uuid4().hex}", "w") as file:
+            file.write(str(os.getpid()))
+        return words.value
+
+    def classify(model, texts):
+        return texts.str.contains(model[0])
+
+    scorer = PandasScorer("loaded", flag=classify, setup=setup)
+    rows = spark.range(4_000).selectExpr("CAST(id AS STRING) AS id", "if(id % 3 = 0, 'bad ', '') || id AS comment").repartition(40)
+    scored = score_corpus(rows, [scorer], carry=["id"]).collect()
+    assert all(r["flagged"] == (int(r["id"]) % 3 == 0) and r["success"] for r in scored) and len(scored) == 4_000
+    pids = [path.read_text() for path in tmp_path.iterdir()]
+    assert 0 < len(pids) == len(set(pids)) <= 16
+
+
+def test_a_failing_set_up_is_an_answer(spark):
+    def setup():
+        raise OSError("no model")
+
+    rows = spark.createDataFrame([("1", "a"), ("2", None)], "id string, comment string")
+    scored = score_corpus(rows, [PandasScorer("gone", flag=lambda m, t: t, setup=setup)], carry=["id"]).collect()
+    assert {r["id"]: (r["success"], r["error"]) for r in scored} == {"1": (False, "OSError"), "2": (False, "missing_text")}
+
+
+def test_a_fitted_model_is_kept_and_scores_held_out_rows(spark, sf_dir, tmp_path):
+    folder = sf_dir.replace("sf0.001", "sf0.1")
+    rows = given.corpus(spark, folder).filter("label IS NOT NULL").withColumn("fold", models.fold("id"))
+    models.save_model(models.fit_text_model(rows.filter("fold <> 0")), f"{tmp_path}/model")
+    held = score_corpus(rows.filter("fold = 0"), [models.load_scorer("fitted", f"{tmp_path}/model")], carry=["id", "label"]).collect()
+    toxic = [r for r in held if r["label"] == 1]
+    assert all(r["success"] for r in held) and len(held) > 500
+    assert sum(r["flagged"] for r in toxic) >= 0.5 * len(toxic)
+    assert sum(r["flagged"] == (r["label"] == 1) for r in held) >= 0.93 * len(held)
+
+
+def test_models_need_both_labels(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", None), (None, 0.0), ("d", 2.0)], "comment string, label double")
+    with pytest.raises(ValueError, match="both labels"):
+        models.fit_text_model(rows)
+    model = models.fit_text_model(rows.unionByName(spark.createDataFrame([("e", 0.0)], rows.schema)))
+    scored = score_corpus(rows, [ModelScorer("m", transformer=model)]).collect()
+    assert [r["error"] for r in scored] == [None, None, None, "missing_text", None]
+    assert [r["flagged"] for r in scored[:2]] == [True, True]
+
+
+def test_folds(spark):
+    rows = spark.range(1_000).select(models.fold("id").alias("f"), F.lit(None).cast("string").alias("none"))
+    counts = [r["count"] for r in rows.groupBy("f").count().collect()]
+    assert len(counts) == 5 and min(counts) > 150
+    assert rows.limit(1).select(models.fold("none")).first()[0] == 0

@@ -8,8 +8,9 @@ lands in the row.
 from __future__ import annotations
 
 import numbers
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -62,6 +63,17 @@ class ColumnScorer(Scorer):
         )
 
 
+#: What the set-up functions of scorers made in this Python worker.
+_ready: dict[str, object] = {}
+
+
+def made_once(key: str, setup: Callable[[], object]) -> object:
+    """What ``setup`` makes, made by the first call in this Python worker."""
+    if key not in _ready:
+        _ready[key] = setup()
+    return _ready[key]
+
+
 @dataclass(frozen=True, eq=False)
 class PandasScorer(Scorer):
     """Any Python model: a function from a Series of texts to a Series of booleans.
@@ -70,12 +82,22 @@ class PandasScorer(Scorer):
     no verdict; any other is an error of its text. When a batch fails, its halves are tried, and
     theirs, so that an error stays with the text that caused it, at a cost of two calls for
     each halving.
+
+    ``setup`` makes what is costly to make, as a loaded model, once for each Python worker and
+    not for each batch or task; ``flag`` then takes it before the texts. It may read a broadcast variable,
+    so that a large model travels once to each executor and not with the code. When it fails, all texts of
+    the worker get its error, and the next batch tries again.
     """
 
-    flag: Callable[[pd.Series], pd.Series] = None
+    flag: Callable[..., pd.Series] = None
+    setup: Callable[[], object] | None = None
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def add_verdict(self, df, text, into):
-        classify = self.flag
+        given, setup, key = self.flag, self.setup, self.key
+
+        def classify(texts):
+            return given(texts) if setup is None else given(made_once(key, setup), texts)
 
         def flag(answer):
             if answer is None or answer is pd.NA or answer != answer:
@@ -96,17 +118,26 @@ class PandasScorer(Scorer):
             middle = len(texts) // 2
             return tried(texts.iloc[:middle]) + tried(texts.iloc[middle:])
 
-        @F.pandas_udf(VERDICT)
-        def verdicts(texts: pd.Series) -> pd.DataFrame:
+        def answered(texts: pd.Series) -> pd.DataFrame:
             out = pd.DataFrame({"flagged": None, "error": None}, index=texts.index, dtype=object)
             present = texts.notna()
             known = texts[present]
             if len(known):
-                each = tried(known)
+                try:
+                    if setup is not None:
+                        made_once(key, setup)
+                    each = tried(known)
+                except Exception as error:
+                    each = [(None, type(error).__name__)] * len(known)
                 out.loc[present, "flagged"] = [flagged for flagged, _ in each]
                 out.loc[present, "error"] = [error for _, error in each]
             return out
 
+        @F.pandas_udf(VERDICT)
+        def verdicts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for texts in batches:
+                yield answered(texts)
+
         return df.withColumn(into, verdicts(F.col(text)))
 
 
