@@ -296,6 +296,10 @@ UNION ALL SELECT 'unchecked', TRUE"""
 ORACLES["csv_corpus"] = f"""WITH {CORPUS}
 SELECT id, text AS comment, coalesce(CAST(label AS VARCHAR), '') AS label FROM corpus"""
 
+ORACLES["large_csv"] = f"""WITH {CORPUS}
+SELECT id, '"' || chr(10) || replace(text, ' ', chr(10)) || ',"' AS comment,
+  coalesce(CAST(label AS VARCHAR), '') AS label FROM corpus"""
+
 ORACLES["jsonl_input"] = "SELECT event_id, props FROM events"
 
 ORACLES["published_messages"] = "SELECT CAST(doc_id AS VARCHAR) AS id, 'AB' AS plan FROM documents"

@@ -37,7 +37,7 @@ from verdict.plans.model import step_table
 from verdict.plans.routing import dead_letters, expand_steps, message_outcomes, runnable, unknown_steps
 from verdict.plans.runner import bind_inputs, run_plans
 from verdict.session import prepare_session, scratch_dir
-from verdict.sources.corpus import read_labelled_csv, write_labelled_csv
+from verdict.sources.corpus import read_labelled_csv, read_large_csv, write_labelled_csv
 from verdict.sources.message_stream import stream_bounded
 from verdict.sources.messages import (
     peek_message,
@@ -518,6 +518,15 @@ def csv_corpus(spark, sf_dir):
     return read_labelled_csv(spark, f"{where}/*")
 
 
+@query
+def large_csv(spark, sf_dir):
+    """The corpus in one CSV file, its texts with line breaks and quotes, read by many tasks."""
+    where = scratch_dir(spark, "large-csv")
+    text = F.concat(F.lit('"\n'), F.replace("comment", F.lit(" "), F.lit("\n")), F.lit(',"'))
+    write_labelled_csv(given.corpus(spark, sf_dir).withColumn("comment", text).coalesce(1), where)
+    return read_large_csv(spark, where)
+
+
 @query
 def jsonl_input(spark, sf_dir):
     """Scorer inputs from lines, half of them in single quotes, one field picked."""

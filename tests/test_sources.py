@@ -1,13 +1,15 @@
 """Files in and out: corpora, messages, results."""
 
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from verdict.operators.envelope import decode_messages, encode_messages, take_messages
 from verdict.session import scratch_dir
-from verdict.sources.corpus import read_labelled_csv, write_labelled_csv
+from verdict.sources.corpus import read_labelled_csv, read_large_csv, write_labelled_csv
 from verdict.sources.messages import (
     peek_message,
     publish,
@@ -134,3 +136,56 @@ def test_scratch_below_the_shared_folder():
     assert scratch_dir(Cluster("hdfs:///a", "local[2]"), "x").startswith("hdfs:///a/x-")
     with pytest.raises(ValueError):
         scratch_dir(Cluster(None), "x")
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Blocks of a few bytes, so that records and quotes run over their ends."""
+    sizes = {"spark.sql.files.maxPartitionBytes": "90", "spark.sql.files.openCostInBytes": "0"}
+    before = {key: spark.conf.get(key) for key in sizes}
+    for key, value in sizes.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def whole_and_split(spark, path):
+    left, right = (Counter(map(tuple, f(spark, path).collect())) for f in (read_labelled_csv, read_large_csv))
+    assert left == right
+    return left
+
+
+def test_large_csv_equals_the_read_by_one_task(spark, tmp_path, small_blocks):
+    rng = random.Random(4)
+    bits = ['a', 'é,', '""', '\n', '\r\n', 'word ', '\n\n', ' ', ',']
+    lines = [",text,label"]
+    for i in range(120):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(40)))
+        lines.append(f'{i},"{text}",{rng.choice(["0", "1", ""])}')
+    lines[50] = '49,"' + "long\n" * 200 + '",1'
+    (tmp_path / "one.csv").write_text("\n".join(lines) + "\n", encoding="utf-8", newline="")
+    assert spark.read.text(str(tmp_path), lineSep="\n").rdd.getNumPartitions() > 20
+    assert sum(whole_and_split(spark, str(tmp_path)).values()) == 120
+
+
+def test_large_csv_by_header_and_odd_files(spark, tmp_path, small_blocks):
+    (tmp_path / "a.csv").write_text(",text,label\r\n1,aaa,0\r\n\r\n2,\"b\r\nb\",1\r\n" * 1, newline="")
+    (tmp_path / "b.csv").write_text("label,,text\n1,2,bbb\n0,3,ccc", newline="")
+    (tmp_path / "c.csv").write_text("text,label,\nddd,1,4\nshort\n", newline="")
+    (tmp_path / "d with space.csv").write_text("text,other\neee,f\n", newline="")
+    (tmp_path / "empty.csv").write_text("")
+    rows = whole_and_split(spark, str(tmp_path))
+    assert rows["2", "b\nb", "1"] == 1 and rows["", "short", ""] == 1 and rows["", "eee", ""] == 1 and sum(rows.values()) == 7
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "e.csv").write_text("")
+    assert read_large_csv(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_large_csv_header_over_blocks(spark, tmp_path, small_blocks):
+    """A byte order mark, a header longer than a block, a quote that is never closed."""
+    header = "\ufeff" + ",text," + ",".join(f'"c\n{i}"' for i in range(40)) + ",label\n"
+    body = "".join(f"{i},t{i},{',' * 39},{i % 2}\n" for i in range(30))
+    (tmp_path / "a.csv").write_text(header + body + '30,"open\nend', encoding="utf-8", newline="")
+    rows = {r["id"]: (r["comment"], r["label"]) for r in read_large_csv(spark, str(tmp_path)).collect()}
+    assert len(rows) == 31 and rows["7"] == ("t7", "1") and rows["30"][0].startswith("open")

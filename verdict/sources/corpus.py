@@ -7,13 +7,15 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdict.sources.split_csv import read_split_csv
+
 
 def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header to (id, comment, label), all text.
 
     Columns are taken by name, file by file: the unnamed row index, ``text`` and ``label``. A
     missing column or an empty field is the empty string. A header takes one line. Texts may
-    hold quoted line breaks, so a file is read by one task; a large corpus should come as many files.
+    hold quoted line breaks, so a file is read by one task; ``read_large_csv`` splits large files.
     """
     found = None
     for files in _by_header(spark, path):
@@ -24,6 +26,11 @@ def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     return found
 
 
+def read_large_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The same rows, each file read by as many tasks as it has blocks."""
+    return read_split_csv(spark, path, {"id": "", "comment": "text", "label": "label"})
+
+
 def _named_columns(raw: DataFrame) -> DataFrame:
     def named(column: str) -> Column:
         value = F.col(f"`{column}`") if column in raw.columns else F.lit(None).cast("string")
