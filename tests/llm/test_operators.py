@@ -289,6 +289,31 @@ def test_packing_round_trip(spark, odd_docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_follows_the_curve(spark, odd_docs, sf_dir):
+    """Documents lie in the order of their places, ties by id; clashing columns and small chunks change nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    clashing = docs.selectExpr("*", "1 as row", "2 as place", "3 as ids", "4 as n", "5 as position")
+    pieces = packing.pack(clashing, chunk=50_000).collect()
+    assert collections.Counter(pieces) == collections.Counter(packing.pack(docs).collect())
+    place = {r["doc_id"]: r["place"] for r in packing.encoded(docs).collect()}
+    laid = [p["doc_id"] for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])) if p["start"] == 0]
+    assert laid == sorted(laid, key=lambda d: (place[d], d)) and len(laid) == docs.count()
+    assert packing.pack(odd_docs).count() >= odd_docs.count()
+
+
+def test_packing_remembers_within_bounds(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array(["a bc, a bc. de!! 12 x\u00a0y", "", "  a  "])
+    encoder = packing.Encoder(packing.vocabulary())
+    want = encoder.documents(texts)
+    monkeypatch.setattr(packing, "REMEMBERED", 2)
+    for _ in range(3):
+        ids, places = encoder.documents(texts)
+        assert ids == want[0] and (places == want[1]).all() and len(encoder.known.number) < 12
+    assert ids[1] == np.array([2], np.uint16).tobytes()
+
+
 def test_mixing(spark, odd_docs):
     for docs in (odd_docs, odd_docs.limit(0)):
         rows = mixing.mix(docs).collect()

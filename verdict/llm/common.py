@@ -135,14 +135,20 @@ def slices(sizes: np.ndarray, most: int):
         yield start, len(sizes)
 
 
-def text_slices(column: pa.Array, most: int):
-    """(begin, end, texts) of an Arrow column, at most ``most`` bytes or one text at a time."""
+def text_parts(column: pa.Array, most: int):
+    """(begin, end, part) of an Arrow column, at most ``most`` bytes or one text at a time."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     for a, b in slices(sizes, most):
-        yield a, b, column[a:b].to_pylist()
+        yield a, b, column[a:b]
     give_back()
 
 
+def text_slices(column: pa.Array, most: int):
+    """(begin, end, texts) of an Arrow column, at most ``most`` bytes or one text at a time."""
+    for a, b, part in text_parts(column, most):
+        yield a, b, part.to_pylist()
+
+
 def give_back() -> None:
     """Return free memory to the system: Arrow and the C library would keep it for the life of the worker."""
     pa.default_memory_pool().release_unused()

@@ -14,32 +14,29 @@ distinct words between white space; frequent words are remembered.
 
 from __future__ import annotations
 
-import gc
 import os
-import re
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdict.llm.common import mix, names, stored, text_slices
+from verdict.llm.common import mix, names, stored, text_parts
 
 LENGTH = 4_096
 END = 2
 BUCKETS = 1 << 16
 DIMENSIONS = 3
 GRID_BITS = 10
-#: Bytes of text worked on at once inside a task, and words a worker remembers.
+#: Bytes of text worked on at once inside a task, and parts of words a worker remembers.
 CHUNK = 7_000_000
-REMEMBERED = 220_000
+REMEMBERED = 700_000
 
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,!?;:|&*#$%()-]*)")
-#: Python takes these for white space, the vocabulary does not.
-_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+_SIMPLE = r"^(?P<letters>[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)(?P<marks>[.,!?;:|&*#$%()-]*)\z"
 _TOKENS = "doc_id long, n long, place long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -73,8 +70,38 @@ def projection() -> np.ndarray:
     return np.stack([(mix(np.arange(BUCKETS, dtype=np.uint64) + np.uint64(d << 32)) >> np.uint64(63)).astype(np.int8) * 2 - 1 for d in range(DIMENSIONS)], axis=1)
 
 
+class Pool:
+    """Entries of ids (16 bits each) laid end to end, each with a hash bucket, found by their text."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids = np.empty(1 << 16, np.uint16)
+        self.ends, self.buckets = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def add(self, texts: list[str], ids: list[bytes]) -> None:
+        n, used = len(self.number), int(self.ends[len(self.number)])
+        ends = used + np.cumsum(np.fromiter((len(x) // 2 for x in ids), np.int64, len(ids)))
+        while len(self.ends) < n + len(ids) + 1:
+            self.ends, self.buckets = (np.concatenate((x, np.zeros_like(x))) for x in (self.ends, self.buckets))
+        last = int(ends[-1]) if len(ids) else used
+        while len(self.ids) < last:
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        self.ids[used:last] = np.frombuffer(b"".join(ids), np.uint16)
+        self.ends[n + 1 : n + 1 + len(ids)] = ends
+        self.buckets[n : n + len(ids)] = np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) % BUCKETS for t in texts), np.int64, len(texts))
+        self.number.update(zip(texts, range(n, n + len(texts)), strict=True))
+
+
+def gather(pool: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of the pool one after another, and where each begins in that."""
+    upto = np.concatenate(([0], np.cumsum(sizes)))
+    at = np.repeat((begin - upto[:-1]).astype(np.int32), sizes)
+    at += np.arange(len(at), dtype=np.int32)
+    return pool[at], upto
+
+
 class Encoder:
-    """Ids and hash buckets of words between white space; those of frequent words are remembered."""
+    """Ids and hash buckets of words between white space; letters of a word and the marks behind them are remembered apart."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,8 +111,7 @@ class Encoder:
         ends = [k for word, k in self.tokenizer.get_vocab().items() if word.endswith("</w>")]
         self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.last[ends] = True
-        self.known: dict[str, tuple[bytes, int]] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self.known = Pool()
         self.signs = projection()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -105,53 +131,49 @@ class Encoder:
                 out += self.encode(group)
         return out
 
-    def look_up(self, kinds: list[str]) -> list[tuple[bytes, int]]:
-        known = self.known
-        new = [w for w in kinds if w not in known]
-        split = [(w, m.group(1).lower(), m.group(2)) if (m := _SIMPLE.fullmatch(w)) else (w, None, None) for w in new]
-        cores = list({c for _, c, _ in split if c})
-        tails = list({t for _, c, t in split if c and t not in self.tails})
-        others = [w for w, c, _ in split if not c]
-        core = dict(zip(cores, self.letters(cores), strict=True))
-        self.tails.update(zip(tails, self.encode(tails), strict=True))
-        fresh = {w: (core[c] + self.tails[t], zlib.crc32(c.encode()) % BUCKETS) for w, c, t in split if c}
-        for w, ids in zip(others, self.encode(others), strict=True):
-            fresh[w] = (ids, zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % BUCKETS)
-        if len(self.tails) > 10_000:
-            self.tails = {"": b""}
-        if len(known) + len(fresh) <= REMEMBERED:
-            known.update(fresh)
-        elif len(known) < REMEMBERED:
-            known.update(list(fresh.items())[: REMEMBERED - len(known)])
-        return [fresh[w] if w in fresh else known[w] for w in kinds]
-
-    def documents(self, texts: list[str]) -> tuple[list[bytes], np.ndarray]:
-        """The ids of each text, with END behind them, and its place on the curve."""
-        words = [[t] if any(s in t for s in _SEPARATORS) else t.split() for t in texts]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.empty(int(sizes.sum()), dtype=object)
-        flat[:] = [w for ws in words for w in ws]
-        codes, kinds = pd.factorize(flat)
-        # Millions of short-lived tuples, none in a cycle: the cycle collector would only walk them.
-        collecting = gc.isenabled()
-        gc.disable()
-        try:
-            entries = self.look_up(list(kinds))
-        finally:
-            if collecting:
-                gc.enable()
-        pool = np.frombuffer(b"".join(e[0] for e in entries), np.uint16)
-        lengths = np.fromiter((len(e[0]) // 2 for e in entries), np.int64, len(entries))
-        begin = np.cumsum(lengths) - lengths
-        many = lengths[codes]
-        at = np.repeat((begin[codes] - (np.cumsum(many) - many)).astype(np.int32), many)
-        at += np.arange(len(at), dtype=np.int32)
-        ids = pool[at]
-        del at, flat
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        upto = np.concatenate(([0], np.cumsum(many)))[ends]
-        signs = self.signs[np.fromiter((e[1] for e in entries), np.int64, len(entries))]
-        sums = np.concatenate((np.zeros((1, DIMENSIONS), np.int32), np.cumsum(signs[codes], axis=0, dtype=np.int32)))[ends]
+    def numbers(self, texts: pa.Array, encode) -> np.ndarray:
+        """Entries of distinct texts; those not known are encoded and remembered."""
+        texts, known = texts.to_pylist(), self.known.number
+        new = [t for t in texts if t not in known]
+        self.known.add(new, encode(new))
+        return np.fromiter(map(known.__getitem__, texts), np.int64, len(texts))
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of these distinct words one after another, where each begins and the last ends, and their hash buckets."""
+        if len(self.known.number) > REMEMBERED:
+            self.known = Pool()
+        parts = pc.extract_regex(words, _SIMPLE)
+        simple = pc.is_valid(parts).to_numpy(zero_copy_only=False)
+        first, second = np.empty(len(words), np.int64), np.full(len(words), -1)
+        for name, into, encode in (("letters", first, self.letters), ("marks", second, self.encode)):
+            column = parts.field(name).filter(pa.array(simple))
+            coded = (pc.utf8_lower(column) if name == "letters" else column).dictionary_encode()
+            into[simple] = self.numbers(coded.dictionary, encode)[coded.indices.to_numpy(zero_copy_only=False)]
+        first[~simple] = self.numbers(words.filter(pa.array(~simple)), self.encode)
+        pool = self.known
+        begin, size = pool.ends[:-1], np.diff(pool.ends)
+        both = np.column_stack((first, second)).ravel()
+        ids, upto = gather(pool.ids, begin[both], np.where(both >= 0, size[both], 0))
+        buckets = pool.buckets[first]
+        # Other words are hashed by their lower case.
+        buckets[~simple] = [zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % BUCKETS for w in words.filter(pa.array(~simple)).to_pylist()]
+        return ids, upto[::2], buckets
+
+    def documents(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """The ids of each text (none is null), with END behind them, and its place on the curve."""
+        # Only ASCII white space parts words here; other kinds stay inside a word and are left to the tokenizer.
+        lists = pc.ascii_split_whitespace(texts)
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values[ends[0] : ends[-1]]
+        full = pc.not_equal(pc.binary_length(values), 0)
+        ends = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))[ends - ends[0]]
+        coded = values.filter(full).dictionary_encode()
+        codes, sizes = coded.indices.to_numpy(zero_copy_only=False), np.diff(ends)
+        del lists, values, full
+        pool, begin, buckets = self.look_up(coded.dictionary)
+        ids, upto = gather(pool, begin[codes], np.diff(begin)[codes])
+        upto = upto[ends]
+        sums = np.concatenate((np.zeros((1, DIMENSIONS), np.int32), np.cumsum(self.signs[buckets][codes], axis=0, dtype=np.int32)))[ends]
         spread = np.diff(sums, axis=0) / np.sqrt(np.maximum(sizes, 1))[:, None]
         grid = np.minimum((1 << GRID_BITS) / (1 + np.exp(-np.clip(spread / 3, -30, 30))), (1 << GRID_BITS) - 1)
         last = np.array([END], np.uint16).tobytes()
@@ -183,8 +205,8 @@ def encoded(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Dat
     def run(batches):
         encoder = _encoder(path or vocabulary())
         for batch in batches:
-            for a, b, texts in text_slices(batch.column(1), chunk):
-                ids, places = encoder.documents([t or "" for t in texts])
+            for a, b, texts in text_parts(batch.column(1), chunk):
+                ids, places = encoder.documents(pc.fill_null(texts, ""))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(places), pa.array(ids, pa.binary())],
                     names=names(_TOKENS),
