@@ -59,6 +59,11 @@ PLANS = (
 )
 
 
+#: Each of the plans under 250 names.
+COPIES = 250
+MANY_PLANS = tuple(Plan(f"{p.name}_{i}", p.steps) for p in PLANS for i in range(COPIES))
+
+
 def plans_from_files(spark: SparkSession) -> list[Plan]:
     """The plans, written to one file each and read back."""
     where = scratch_dir(spark, "plans")
@@ -124,12 +129,18 @@ def routed_plan() -> Column:
     )
 
 
-def mixed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def many_plan_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same messages, their plans under one of the many names by document number."""
+    name = F.when(routed_plan() != "", F.concat(routed_plan(), F.lit("_"), number() % COPIES)).otherwise(routed_plan())
+    return mixed_messages(spark, sf_dir, name)
+
+
+def mixed_messages(spark: SparkSession, sf_dir: str, name: Column | None = None) -> DataFrame:
     """Messages for all plans; every thirteenth body is cut short or is no object."""
     rows = corpus(spark, sf_dir)
     body = F.to_json(
         F.struct(
-            routed_plan().alias("plan"),
+            (routed_plan() if name is None else name).alias("plan"),
             F.struct("id", "comment", F.col("label").cast("string").alias("label")).alias("input"),
         )
     )

@@ -198,6 +198,10 @@ FROM mixed WHERE reason IS NULL AND plan = 'Echo'
 UNION ALL SELECT 'dead', TRUE, plan, reason, {_NO_RESULT}
 FROM mixed WHERE reason IS NOT NULL"""
 
+for _name in ("plan_results", "bound_inputs"):
+    ORACLES[f"many_{_name}"] = ORACLES[_name]
+ORACLES["many_plan_outcomes"] = ORACLES["mixed_plan_outcomes"]
+
 ORACLES["reported_rejects"] = f"""WITH {MIXED}
 SELECT plan, 'missing_model' AS reason, '{{"error":"invalid_json","success":false}}' AS answer
 FROM mixed WHERE reason IS NULL AND plan = 'Mixed'"""

@@ -35,6 +35,7 @@ from verdict.operators.scoring import (
 )
 from verdict.plans.model import step_table
 from verdict.plans.routing import dead_letters, expand_steps, message_outcomes, runnable, unknown_steps
+from verdict.plans.relational import run_many_plans
 from verdict.plans.runner import bind_inputs, run_plans
 from verdict.session import prepare_session, scratch_dir
 from verdict.sources.corpus import read_labelled_csv, read_large_csv, write_labelled_csv
@@ -282,6 +283,33 @@ def plan_results(spark, sf_dir):
     return run.select(_input_id(), "plan", F.explode("results").alias("step", "result"))
 
 
+def _many(spark, sf_dir):
+    routed = route_messages(given.many_plan_messages(spark, sf_dir), given.MANY_PLANS, given.steps())
+    run = run_many_plans(runnable(routed), given.MANY_PLANS, given.steps())
+    return run.withColumn("plan", F.substring_index("plan", "_", 1)).withColumn("id", _input_id())
+
+
+@query
+def many_plan_results(spark, sf_dir):
+    """Every result of every message, its plan being one of a thousand."""
+    return _many(spark, sf_dir).select("id", "plan", F.explode("results").alias("step", "result"))
+
+
+@query
+def many_bound_inputs(spark, sf_dir):
+    steps = bind_inputs(_many(spark, sf_dir), "id", "plan")
+    return steps.select("id", "plan", "position", "step", F.posexplode("inputs").alias("nth", "bound"))
+
+
+@query
+def many_plan_outcomes(spark, sf_dir):
+    """Outcome rows of a thousand plans, without the bodies."""
+    scored = score_messages(given.many_plan_messages(spark, sf_dir), given.MANY_PLANS, given.steps())
+    return scored.withColumn("plan", F.substring_index("plan", "_", 1)).select(
+        "kind", "first", "plan", "reason", "record_id", "label", "model", "flagged"
+    )
+
+
 @query
 def message_outcome(spark, sf_dir):
     """Whether each message ran through; those that cannot be read have no id."""

@@ -2,10 +2,14 @@
 
 import json
 import random
+import re
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from acceptance import inputs as given
 from acceptance.inputs import PLANS, steps
 from verdict.operators.envelope import decode_messages
 from verdict.operators.outcomes import route_messages, score_messages
@@ -24,6 +28,7 @@ from verdict.plans.model import (
     read_plans,
     step_table,
 )
+from verdict.plans.relational import run_many_plans
 from verdict.plans.routing import expand_steps, message_outcomes, runnable, unknown_steps
 from verdict.plans.runner import bind_inputs, run_plans, stored_answers, stored_objects
 from verdict.operators.scoring import registry
@@ -320,3 +325,52 @@ def test_a_plan_may_only_run_without_an_input(spark):
     assert json.loads(got[None]["store"]) == {"success": True, "inserted_records": 0}
     kinds = sorted(r["kind"] for r in score_messages(messages, plans, steps()).collect())
     assert kinds == ["dead", "rejected"]
+
+
+def both_runs(routed, plans, steps):
+    columns = ["id", "plan", "answers", "results", "bound"]
+    for run in (run_plans, run_many_plans):
+        out = run(runnable(routed), plans, steps).withColumn("id", F.try_variant_get("input", "$.id", "string"))
+        out = out.withColumns({"answers": F.expr("transform(answers, a -> to_json(a))"), "results": F.expr("array_sort(map_entries(results))")})
+        yield Counter(str(row) for row in out.select(*columns).collect())
+
+
+def test_plans_as_rows_equal_plans_as_code(spark, sf_dir):
+    routed = route_messages(given.mixed_messages(spark, sf_dir), given.PLANS, given.steps())
+    code, rows = both_runs(routed, given.PLANS, given.steps())
+    assert code == rows and code.total() > 50
+    faulty = route_messages(given.faulty_messages(spark, sf_dir), given.FAULTY_PLANS, given.steps())
+    code, rows = both_runs(faulty, given.FAULTY_PLANS, given.steps())
+    assert code == rows and code.total() > 0
+
+
+def test_odd_plans_as_rows(spark):
+    """Repeated steps, templates of several results, relayed answers, stores of texts that are no JSON, bare inputs."""
+    steps = given.steps() | registry(EchoStep("again"))
+    plans = [
+        plan("Relay", ("echo", ["default_input"]), ("lexicon_a", ["echo"]), ("echo", ["lexicon_a"]), ("store", ["echo", "lexicon_a", "text", "{echo}"])),
+        plan("Braces", ("echo", ['{{"a": 1}}']), ("again", ["[{echo}, {default_input}]"]), ("store", ["again"]), ("store", ["store"])),
+        plan("Bare", ("lexicon_b", ["default_input"]), ("echo", [""]), ("store", ["lexicon_b", "echo"])),
+    ]
+    inputs = ['{"id": "1", "comment": "an idiot"}', '{"text": "scum", "label": 1}', "{}", '"text"', "[1]", "null"]
+    bodies = [(f'{{"plan": "{p.name}", "input": {i}}}',) for p in plans for i in inputs]
+    routed = route_messages(spark.createDataFrame(bodies, "value string"), plans, steps)
+    code, rows = both_runs(routed, plans, steps)
+    assert code == rows and code.total() > 10
+
+
+def test_code_does_not_grow_with_plans(spark, sf_dir):
+    def size(plans):
+        routed = route_messages(given.many_plan_messages(spark, sf_dir), plans, given.steps())
+        started = time.perf_counter()
+        planned = run_many_plans(routed, plans, given.steps())._jdf.queryExecution().optimizedPlan().toString()
+        return len(re.sub(r"\[\[.*?\]\]|#\d+", "", planned)), time.perf_counter() - started
+
+    few, many = size(given.MANY_PLANS[:750:50]), size(given.MANY_PLANS)
+    assert many[0] < 1.3 * few[0]
+    assert many[1] < few[1] + 5
+
+
+def test_no_plans_as_rows(spark, sf_dir):
+    routed = route_messages(given.messages(spark, sf_dir), [], given.steps())
+    assert run_many_plans(routed, [], given.steps()).filter("results IS NOT NULL").count() == 0

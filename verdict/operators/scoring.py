@@ -286,7 +286,11 @@ def echoed(opened: str, chosen: str) -> str:
 
 def build_answer(name: str, value: str, opened: str, chosen: str, verdict: str) -> str:
     """The answer object of one scorer as VARIANT, from the columns of ``open_input``."""
-    model = literal(name)
+    return answer_object(literal(name), value, opened, chosen, verdict)
+
+
+def answer_object(model: str, value: str, opened: str, chosen: str, verdict: str) -> str:
+    """The same for a scorer whose name is an expression."""
 
     def failed(code, more=""):
         return f"to_variant_object(named_struct('success', false, 'model', {model}, 'error', {code}{more}))"

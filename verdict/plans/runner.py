@@ -34,8 +34,12 @@ from verdict.plans.model import (
     PlanProblem,
     resolve,
 )
+from verdict.plans.relational import run_many_plans
 from verdict.plans.steps import EchoStep, StoreStep
 
+#: Plans above this number are read as rows rather than written into the expression; the results are the same.
+MANY_PLANS = 16
+
 
 def _result(position: int) -> str:
     return "input" if position == INPUT_POSITION else f"_r{position}"
@@ -280,6 +284,8 @@ def stored_answers(
     the ``carry`` columns.
     """
     plans, carry = list(plans), list(carry)
+    if len(plans) > MANY_PLANS:
+        return stored_objects(routed, plans, registry, carry)
     compiled = _Compiled(plans, registry)
     scorers = _stored_scorers(compiled)
     if scorers is not None:
@@ -291,7 +297,8 @@ def stored_objects(
     routed: DataFrame, plans: Iterable[Plan], registry: dict, carry: Iterable[str] = ()
 ) -> DataFrame:
     """``stored_answers`` for any plan: each answer is an object, checked key by key."""
-    ran = run_plans(routed, plans, registry)
+    plans = list(plans)
+    ran = (run_many_plans if len(plans) > MANY_PLANS else run_plans)(routed, plans, registry)
     rows = ran.select("plan", "reason", *carry, F.posexplode_outer("answers").alias("_nth", "answer"))
     return check_answers(rows).withColumn("answer_json", F.to_json("answer")).drop("answer")
 
