@@ -461,6 +461,89 @@ def test_odd_tables(spark, odd_docs):
     assert by[3]["component_id"] == 1 and by[2]["component_id"] == 1 and by[4]["component_id"] == 4 and by[6]["n_shingles"] == 0
 
 
+def test_personal_data_written_otherwise(spark, sf_dir):
+    """The field finds forms no pattern matches, in documents it has not seen, and leaves other numbers alone."""
+    docs = table(spark, sf_dir.replace("sf0.001", "sf0.1"), "documents").filter("text rlike '[0-9@]'")
+    model = pii.fit(docs.filter("doc_id % 2 = 0"))
+    found, wanted, matched = 0, 0, 0
+    for (text,) in docs.filter("doc_id % 2 = 1").select("text").collect():
+        if base := pii.base_spans(text):
+            form, gold = pii.rewritten(text, base)
+            seen = pii.base_spans(form)
+            seen = {*seen, *model.add(form, seen)}
+            found, wanted, matched = found + len(seen), wanted + len(gold), matched + len(seen & set(gold))
+    assert wanted > 200 and matched >= 0.9 * wanted and matched >= 0.95 * found
+    for text in ("on 2024-05-12 10:30", "12/05/2024 - 13/06/2024", "version 1.2.3", "1.234.567,89", pii.harmless(5)):
+        assert model.add(text, []) == [], text
+    for text, kind in (("call 212-555-7713 now", "phone"), ("at 10[.]1[.]2[.]3", "ip"), ("me.now (at) mail.example.com", "email")):
+        assert [s[0] for s in model.add(text, [])] == [kind], text
+
+
+def test_what_stands_late_is_learned():
+    """Rows to learn from come from whole texts: all that hold a span, others by hash; long rows are cut."""
+    text = " and ".join(f"{i} {i}" for i in range(5_000)) + " call +1 (212) 555-7713, " + " ".join("12" for _ in range(100))
+    base = pii.base_spans(text)
+    rows = pii._drawn(text, base)
+    assert any(row[0][0] <= base[0][1] + 1 and base[0][2] <= row[-1][1] for row in rows)
+    assert len(rows) <= pii.REGIONS + 1 and max(map(len, rows)) <= pii.ROW
+    assert sum(row[0][0] > len(text) // 2 for row in rows) > 10
+
+
+def test_best_segments_match_enumeration():
+    rng = np.random.default_rng(3)
+
+    def every(n):
+        if n == 0:
+            yield []
+        for first in range(1, min(n, pii.MOST_UNITS) + 1):
+            for rest in every(n - first):
+                moved = [(i + first, j + first, k) for i, j, k in rest]
+                for kind in range(5 if first == 1 else 4):
+                    yield [(0, first, kind), *moved]
+
+    for text in ("10.20-30", "1 2 3 4", "5", "10.0.0.1"):
+        (units, *_) = pii.regions(text)
+        pairs, f = pii.candidates(text, units)
+        for _ in range(5):
+            model = pii.Model(rng.normal(size=(4, pii.N_FEATURES)), rng.normal(size=(5, 5)))
+            typed = dict(zip(pairs, f @ model.weights.T, strict=True))
+
+            def score(way):
+                total, last = 0.0, 4
+                for i, j, k in way:
+                    total += model.order[last, k] + (typed[i, j][k] - pii.MARGIN if k < 4 else 0.0)
+                    last = k
+                return total
+
+            best = max(every(len(units)), key=score)
+            assert model.best(len(units), pairs, f) == [s for s in best if s[2] < 4]
+
+
+def test_mixing_without_ids(spark):
+    """Rows without id, or of one id, are split by their texts, so a source comes near its target."""
+    rows = [(None if i % 3 else 7, f"word{i} " * 10, "a") for i in range(600)] + [(i, "x " * 10, "b") for i in range(200)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    for _, group in got.groupby("source_size"):
+        assert abs(group["taken"].sum() - group["target"].iloc[0]) <= 20
+
+
+def test_pipeline_keeps_different_texts_of_one_id(spark, sf_dir):
+    words = [f"w{i}" for i in range(90)]
+    texts = [" ".join(words[:40]), " ".join(words[40:80]), " ".join(words[:40])]
+    rows = [(5, texts[0]), (5, texts[1]), (3, texts[2]), (None, texts[1]), (None, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, sf_dir).collect())
+    assert kept == {(3, texts[0]): 1, (5, texts[1]): 1, (None, None): 1, (4, ""): 2}
+
+
+def test_pipeline_stages_on_empty_and_clashing_tables(spark, odd_docs, sf_dir):
+    for docs in (odd_docs.limit(0), odd_docs):
+        for name, stage in corpus_pipeline.STAGES:
+            kept = stage(spark, docs, sf_dir)
+            assert name == "packing" or kept.columns == docs.columns, name
+            assert (kept.count() > 0) == (docs is odd_docs), name
+
+
 def test_pipeline_stages(spark, odd_docs, sf_dir):
     docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -55,13 +55,20 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Remove the scratch tables made so far; results that read them must be written before."""
+def scratch_tables() -> int:
+    """How many scratch tables there are."""
+    return len(_made)
+
+
+def clear_scratch(spark: SparkSession, first: int = 0, keep: int = 0) -> None:
+    """Remove the scratch tables from number ``first`` on but for the last ``keep``; results that read them must be written before."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    last = max(first, len(_made) - keep)
+    for name in _made[first:last]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+    del _made[first:last]
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document has a 48-bit hash of its id. A source that takes r times its size takes each
+Every document has a 48-bit hash of its id and text. A source that takes r times its size takes each
 document floor(r) times, and those whose hash lies below a threshold once more. The threshold
 is found without sorting: tokens are summed by source and the top 12 bits of the hash,
 running sums over those 4,096 buckets show in which bucket the budget ends, and only that bucket is
@@ -21,9 +21,10 @@ BITS = 12
 LEVELS = 4
 
 
-def doc_hash(column: str = "doc_id"):
-    """48 bits of the id's MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("null")).cast("binary")), 1, 12), 16, 10).cast("long")
+def doc_hash(column: str = "doc_id", text: str = "text"):
+    """48 bits of the MD5 of id and text, so that only equal documents share it."""
+    whole = F.concat(F.coalesce(F.col(column).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 12), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -97,8 +98,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFram
     """doc_id, size, source_size, target, taken for each row of docs (doc_id, source, text).
 
     size counts runs of other than ASCII white space; a null text has none. taken is size times
-    the copies the mix takes, 0 to ``most``. Null sources are a source, rows of null id hash
-    alike, as do repeated rows, so these are taken or left together. Other columns are not
+    the copies the mix takes, 0 to ``most``. Null sources are a source. Rows of one id, or none, are
+    taken or left each by its own text; repeated rows are taken or left together. Other columns are not
     read. An empty table gives an empty result.
     """
     sizes, goal = _marked(docs, weights, most)
