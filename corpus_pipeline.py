@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdict.llm import language, minhash, mixing, packing, pii
-from verdict.llm.common import fold, small_batches, stored, text_slices
+from verdict.llm.common import clear_scratch, fold, scratch_tables, small_batches, stored, text_slices
 
 #: Mean of the greatest probability of each word below which a document is rejected.
 CLEAR = 0.4
+#: A column for row numbers.
+ROW = "_row"
 #: Bytes of text a packing worker holds at once, next to what earlier stages left in the executor.
 PACKED_AT_ONCE = 2_000_000
 
@@ -40,15 +42,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group; rows that share an id are one document, rows without id stay."""
+    """One row of each group of near-duplicates: that of least id, rows without id last.
+
+    Each row is a document of its own, whatever its id, so different texts of one id all stay and equal
+    rows are copies. Sets are of five words, as is usual for such stages (op2 takes two, as its contract says), linked
+    at a similarity of 0.8 or more. Rows without words link with nothing and stay.
+    """
     small_batches(spark)
-    found = minhash.near_duplicates(docs, width=5, percent=80)
-    kept = stored(found.filter("kept and doc_id is not null").select("doc_id"), "kept").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    numbered = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    found = minhash.near_duplicates(numbered.select(F.col(ROW).alias("doc_id"), "text"), width=5, percent=80)
+    found = found.select(F.col("doc_id").alias(ROW), "component_id").join(numbered.select(ROW, "doc_id"), ROW)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)).alias("least")
+    kept = stored(found.groupBy("component_id").agg(least).select(F.col(f"least.{ROW}").alias(ROW)), "kept")
+    return numbered.join(kept, ROW, "left_semi").select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with personal data in texts masked and n_chars counted anew; null texts stay null."""
     small_batches(spark)
     masked = pii.mask(docs, pii.fit(docs))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
@@ -61,6 +71,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences; see packing.pack."""
     small_batches(spark)
     return packing.pack(docs, chunk=PACKED_AT_ONCE)
 
@@ -78,7 +89,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch_tables()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        # What the stage read and made on the way is of no use any more.
+        clear_scratch(spark, before, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
