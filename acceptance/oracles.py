@@ -64,6 +64,13 @@ ORACLES["score_faults"] = f"""WITH faults AS (
   FROM documents CROSS JOIN (VALUES ('raising'), ('silent')) AS m(model))
 SELECT id, model, error IS NULL AS success, CASE WHEN error IS NULL THEN known END AS flagged, error FROM faults"""
 
+ORACLES["score_native_faults"] = f"""WITH least AS (SELECT min(text) AS least FROM documents WHERE contains(text, 'scum')),
+faults AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, 'raising' AS model, {_flag(WORDS_A)} AS known,
+    CASE WHEN text = least THEN 'USER_RAISED_EXCEPTION' END AS error FROM documents, least
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), 'lexicon_b', {_flag(WORDS_B)}, NULL FROM documents)
+SELECT id, model, error IS NULL AS success, CASE WHEN error IS NULL THEN known END AS flagged, error FROM faults"""
+
 ORACLES["faulty_plans"] = """
 SELECT CASE doc_id % 4 WHEN 0 THEN 'NoInputs' WHEN 1 THEN 'Malformed' ELSE 'OnInput' END AS plan,
   CASE doc_id % 4 WHEN 0 THEN 'no_inputs' WHEN 1 THEN 'bad_template' WHEN 2 THEN 'bad_template' END AS reason,
@@ -198,6 +205,7 @@ FROM mixed WHERE reason IS NULL AND plan = 'Echo'
 UNION ALL SELECT 'dead', TRUE, plan, reason, {_NO_RESULT}
 FROM mixed WHERE reason IS NOT NULL"""
 
+ORACLES["split_routed_messages"] = ORACLES["routed_messages"]
 for _name in ("plan_results", "bound_inputs"):
     ORACLES[f"many_{_name}"] = ORACLES[_name]
 ORACLES["many_plan_outcomes"] = ORACLES["mixed_plan_outcomes"]

@@ -25,16 +25,19 @@ from verdict.operators.outcomes import (
     score_messages,
 )
 from verdict.operators.scoring import (
+    ColumnScorer,
     ModelScorer,
     PandasScorer,
     add_verdicts,
     echo_answer,
+    lexicon,
     one_row_per_model,
     score_corpus,
     smoke_check,
 )
-from verdict.plans.model import step_table
-from verdict.plans.routing import dead_letters, expand_steps, message_outcomes, runnable, unknown_steps
+from verdict.operators.tolerant import score_tolerant
+from verdict.plans.model import plan_rows, step_table
+from verdict.plans.routing import dead_letters, expand_steps, message_outcomes, route_split, runnable, unknown_steps
 from verdict.plans.relational import run_many_plans
 from verdict.plans.runner import bind_inputs, run_plans
 from verdict.session import prepare_session, scratch_dir
@@ -107,6 +110,17 @@ def score_faults(spark, sf_dir):
     return score_corpus(given.texts(spark, sf_dir), given.faulty_scorers(), carry=["id"])
 
 
+@query
+def score_native_faults(spark, sf_dir):
+    """A native scorer that ends a job on one text: it answers with the error there and goes on elsewhere."""
+    known = lexicon(given.WORDS_A)
+    least = given.texts(spark, sf_dir).filter(F.contains("comment", F.lit("scum"))).agg(F.min("comment")).first()[0]
+    fault = F.raise_error(F.lit("scum")).cast("boolean")
+    raising = ColumnScorer("raising", flag=lambda c: F.when(c == F.lit(least), fault).otherwise(known(c)))
+    where = scratch_dir(spark, "tolerant")
+    return score_tolerant(given.texts(spark, sf_dir), [raising, given.scorers()[1]], where, carry=["id"])
+
+
 @query
 def score_fanout_model(spark, sf_dir):
     from pyspark.ml import PipelineModel
@@ -231,6 +245,14 @@ def routed_messages(spark, sf_dir):
     )
 
 
+@query
+def split_routed_messages(spark, sf_dir):
+    """The same by the join for plans that are too many to broadcast."""
+    plans = spark.createDataFrame(plan_rows(given.PLANS, given.steps()))
+    routed = route_split(decode_messages(given.mixed_messages(spark, sf_dir)), plans)
+    return runnable(routed).select(_input_id(), "plan", F.size("steps").alias("n_steps"))
+
+
 @query
 def dead_letter_rows(spark, sf_dir):
     return dead_letters(_routed(spark, sf_dir))

@@ -10,6 +10,7 @@ from acceptance.queries import QUERIES
 WRITERS = {
     "stored_results", "stream_results", "stream_batches", "csv_corpus", "jsonl_input",
     "published_messages", "peeked_message", "message_files", "published_counts", "stored_result_ids",
+    "bounded_batches", "large_csv", "fitted_model_rows", "fitted_model_quality", "score_native_faults",
 }
 
 

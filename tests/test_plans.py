@@ -13,6 +13,7 @@ from acceptance import inputs as given
 from acceptance.inputs import PLANS, steps
 from verdict.operators.envelope import decode_messages
 from verdict.operators.outcomes import route_messages, score_messages
+from verdict.plans import model
 from verdict.plans.model import (
     BAD_TEMPLATE,
     NO_INPUTS,
@@ -374,3 +375,30 @@ def test_code_does_not_grow_with_plans(spark, sf_dir):
 def test_no_plans_as_rows(spark, sf_dir):
     routed = route_messages(given.messages(spark, sf_dir), [], given.steps())
     assert run_many_plans(routed, [], given.steps()).filter("results IS NOT NULL").count() == 0
+
+
+def test_a_frequent_plan_is_spread(spark, sf_dir, monkeypatch):
+    """Without broadcast: the same rows, no task with over twice the median, dead messages never shuffled."""
+    plans = [*given.PLANS, *given.MANY_PLANS]
+    many = given.many_plan_messages(spark, sf_dir).crossJoin(spark.range(20)).select("value")
+    messages = many.unionByName(given.messages(spark, sf_dir).crossJoin(spark.range(30)).select("value")).repartition(8)
+    columns = ["plan", "value", "reason", F.to_json("input").alias("input"), F.to_json(F.struct("steps")).alias("steps")]
+    want = Counter(map(tuple, route_messages(messages, plans, given.steps()).select(*columns).collect()))
+    monkeypatch.setattr(model, "PLAN_BYTES", 0)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        routed = route_messages(messages, plans, given.steps())
+        assert Counter(map(tuple, routed.select(*columns).collect())) == want
+        rows = routed.filter("reason IS NULL OR reason NOT IN ('bad_message', 'missing_plan')").groupBy(F.spark_partition_id().alias("p"))
+        counts = sorted(r["count"] for r in rows.count().collect())
+        assert len(counts) >= 14 and counts[-1] <= 2 * counts[len(counts) // 2]
+        tree = routed._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"\n[^\n]*\bExchange hashpartitioning\(plan", tree)) == 2 and "Union" in tree
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    empty = spark.createDataFrame([], "value string")
+    assert route_messages(empty, plans, given.steps()).count() == 0

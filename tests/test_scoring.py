@@ -11,7 +11,7 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from acceptance import inputs as given
-from verdict.operators import models
+from verdict.operators import models, tolerant
 from verdict.operators.evaluate import accuracy_by_model, row_correctness, score_labelled
 from verdict.operators.outcomes import score_messages
 from verdict.operators.scoring import (
@@ -24,6 +24,7 @@ from verdict.operators.scoring import (
     score_corpus,
     smoke_check,
 )
+from verdict.operators.tolerant import score_tolerant
 from verdict.plans.model import plan
 from verdict.plans.steps import StoreStep
 
@@ -248,3 +249,29 @@ def test_folds(spark):
     counts = [r["count"] for r in rows.groupBy("f").count().collect()]
     assert len(counts) == 5 and min(counts) > 150
     assert rows.limit(1).select(models.fold("none")).first()[0] == 0
+
+
+def test_faults_of_native_scorers_are_answers(spark, tmp_path):
+    rows = [("1", "scum a"), ("2", "fine"), ("3", "scum a"), ("4", None), ("5", "scum b"), ("6", "an idiot")]
+    rows = spark.createDataFrame(rows, "id string, comment string").repartition(2)
+    known = lexicon(["idiot"])
+    raising = ColumnScorer("raising", flag=lambda c: F.when(c.contains("scum a"), F.raise_error(F.lit("no")).cast("boolean")).otherwise(known(c)))
+    scorers = [ColumnScorer("plain", flag=known), raising]
+    scored = score_tolerant(rows, scorers, str(tmp_path / "out"), carry=["id"])
+    assert scored.columns == score_corpus(rows, scorers, ["id"]).columns
+    got = {(r["id"], r["model"]): (r["success"], r["flagged"], r["error"]) for r in scored.collect()}
+    assert len(got) == 12 and scored.count() == 12
+    assert got["1", "raising"] == got["3", "raising"] == (False, None, "USER_RAISED_EXCEPTION")
+    assert got["4", "raising"] == (False, None, "missing_text")
+    assert got["5", "raising"] == (True, False, None) and got["6", "raising"] == (True, True, None) and got["1", "plain"] == (True, False, None)
+
+
+def test_hopeless_scorers_and_lost_paths_raise(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tolerant, "HOPELESS", 2)
+    rows = spark.createDataFrame([(str(i), f"t{i}") for i in range(9)], "id string, comment string")
+    never = ColumnScorer("never", flag=lambda c: F.raise_error(c).cast("boolean"))
+    with pytest.raises(RuntimeError, match="every text"):
+        score_tolerant(rows, [never], str(tmp_path / "a"))
+    with pytest.raises(Exception, match="nowhere"):
+        score_tolerant(rows, [ColumnScorer("x", flag=lambda c: F.col("nowhere"))], str(tmp_path / "b"))
+    assert score_tolerant(rows.limit(0), [never], str(tmp_path / "c")).count() == 0

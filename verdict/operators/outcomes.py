@@ -11,8 +11,9 @@ from verdict.functions import settled
 from verdict.operators.envelope import decode_messages
 from verdict.operators.records import RESULT_COLUMNS
 from verdict.operators.scoring import Scorer, require_smoke
-from verdict.plans.model import Plan, plan_table
-from verdict.plans.routing import route
+from verdict.plans import model
+from verdict.plans.model import Plan, plan_rows
+from verdict.plans.routing import route, route_split
 from verdict.plans.runner import stored_answers
 
 ACCEPTED = "accepted"
@@ -25,9 +26,9 @@ def route_messages(
     messages: DataFrame, plans: Iterable[Plan], registry: dict, body: str = "value"
 ) -> DataFrame:
     """Decode message bodies and attach the steps of their plans."""
-    return route(
-        decode_messages(messages, body), plan_table(messages.sparkSession, plans, registry)
-    )
+    decoded, table = decode_messages(messages, body), plan_rows(plans, registry)
+    rows = messages.sparkSession.createDataFrame(table)
+    return route(decoded, F.broadcast(rows)) if table.nbytes <= model.PLAN_BYTES else route_split(decoded, rows)
 
 
 def require_checks(

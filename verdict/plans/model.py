@@ -131,14 +131,20 @@ def plan_table(spark: SparkSession, plans: Iterable[Plan], registry: dict) -> Da
     """One row per plan: its steps, and why its messages must fail, if they must.
 
     Plans are configuration the driver holds already. While they take ``PLAN_BYTES`` at most, message
-    bodies stay where they are, whatever the session's threshold for broadcasts; the optimizer
-    decides beyond that, from the exact size of the table.
+    bodies stay where they are, whatever the session's threshold for broadcasts. ``route_split`` joins larger tables.
     """
+    table = plan_rows(plans, registry)
+    rows = spark.createDataFrame(table)
+    return F.broadcast(rows) if table.nbytes <= PLAN_BYTES else rows
+
+
+def plan_rows(plans: Iterable[Plan], registry: dict) -> pa.Table:
+    """The rows of ``plan_table`` in the driver."""
     plans = list(plans)
     names = [p.name for p in plans]
     if len(set(names)) != len(names):
         raise ValueError("plan names must be unique")
-    table = pa.table(
+    return pa.table(
         {
             "plan": pa.array(names, pa.string()),
             "steps": pa.array(
@@ -148,8 +154,6 @@ def plan_table(spark: SparkSession, plans: Iterable[Plan], registry: dict) -> Da
             "problem_no_input": pa.array([problem(p, registry, False) for p in plans], pa.string()),
         }
     )
-    rows = spark.createDataFrame(table)
-    return F.broadcast(rows) if table.nbytes <= PLAN_BYTES else rows
 
 
 def step_table(spark: SparkSession, registry: dict) -> DataFrame:

@@ -9,6 +9,9 @@ from verdict.functions import settled
 
 UNKNOWN_PLAN = "unknown_plan"
 
+#: Plan names that are looked at for being frequent, and names the sketch of them keeps track of.
+FREQUENT, TRACKED = 256, 10_000
+
 
 def route(messages: DataFrame, plan_table: DataFrame) -> DataFrame:
     """Attach the steps of the named plan and complete ``reason``.
@@ -16,13 +19,38 @@ def route(messages: DataFrame, plan_table: DataFrame) -> DataFrame:
     One left join serves both sides: rows with a null reason are to be run, the others
     are dead letters. No message is lost and none is read twice.
     """
+    return _with_reason(messages.join(plan_table, "plan", "left"))
+
+
+def _with_reason(joined: DataFrame) -> DataFrame:
     reason = f"""coalesce(reason, CASE WHEN steps IS NULL THEN '{UNKNOWN_PLAN}' END,
       CASE WHEN input IS NULL THEN problem_no_input ELSE problem END)"""
-    return (
-        messages.join(plan_table, "plan", "left")
-        .withColumn("reason", F.expr(settled(reason)))
-        .drop("problem", "problem_no_input")
-    )
+    return joined.withColumn("reason", F.expr(settled(reason))).drop("problem", "problem_no_input")
+
+
+def route_split(messages: DataFrame, plan_table: DataFrame, parts: int | None = None) -> DataFrame:
+    """``route`` for plans that are too many to broadcast, whatever share of the messages one plan has.
+
+    Messages that are dead already, those without plan among them, are left out of the join. A sketch counts the plans
+    of the others in one pass; a plan with more messages than an even share of a quarter of a task is spread over as many
+    salts as it has such shares, and its row of the plan table is repeated for each.
+    """
+    spark = messages.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    alive = messages.filter("reason IS NULL AND plan IS NOT NULL")
+    top = alive.agg(F.expr(f"approx_top_k(plan, {FREQUENT}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    share = max(1.0, (top["n"] or 0) / (4 * parts))
+    salts = [(item["item"], int(-(-item["count"] // share))) for item in top["top"] or () if item["count"] > share]
+    salts = F.broadcast(spark.createDataFrame(salts, "plan string, salts int"))
+    spread = F.coalesce(F.col("salts"), F.lit(1))
+    # Row numbers deal the messages of a plan out evenly, even where all their bodies are equal.
+    salted = alive.join(salts, "plan", "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), spread).cast("int"))
+    repeated = plan_table.join(salts, "plan", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), spread - 1)))
+    joined = salted.drop("salts").join(repeated.drop("salts"), ["plan", "_salt"], "left").drop("_salt")
+    routed = _with_reason(joined)
+    nothing = {c.name: F.lit(None).cast(c.dataType) for c in routed.schema if c.name not in messages.columns}
+    dead = messages.filter("NOT (reason IS NULL AND plan IS NOT NULL)").withColumns(nothing)
+    return routed.unionByName(dead.select(routed.columns))
 
 
 def runnable(routed: DataFrame) -> DataFrame:
