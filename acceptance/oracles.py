@@ -285,6 +285,9 @@ ORACLES["fitted_model_quality"] = """
 SELECT COUNT(*) AS n, COUNT(d.text) AS answered, true AS fitted_well, true AS held_out_well
 FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic IS NOT NULL"""
 
+ORACLES["merged_results"] = ORACLES["stream_results"]
+ORACLES["running_accuracy"] = ACCURACY
+
 ORACLES["bounded_batches"] = """
 SELECT n // 300 AS batch_id, COUNT(*) AS completed, 2 * COUNT(*) AS stored
 FROM (SELECT ROW_NUMBER() OVER () - 1 AS n FROM documents) GROUP BY n // 300"""

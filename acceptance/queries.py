@@ -51,8 +51,14 @@ from verdict.sources.messages import (
     read_scorer_lines,
     stream_messages,
 )
-from verdict.sources.results import RESULT_SCHEMA, append_results, create_results_table, read_outcomes
-from verdict.streaming.pipeline import batch_totals, drain, score_stream
+from verdict.sources.results import (
+    RESULT_SCHEMA,
+    append_results,
+    create_results_table,
+    merge_outcomes,
+    read_outcomes,
+)
+from verdict.streaming.pipeline import accuracy_so_far, batch_totals, drain, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -542,6 +548,30 @@ def stream_batches(spark, sf_dir):
     return batch_totals(spark.read.parquet(_stream(spark, sf_dir) + "/batches"))
 
 
+def _merged(spark, sf_dir):
+    """A stream of four batches whose stored outcomes were merged, and the folder of them."""
+    where = scratch_dir(spark, "merged")
+    publish(given.messages(spark, sf_dir).repartition(4), f"{where}/messages")
+    bodies = stream_messages(spark, f"{where}/messages", max_files=1)
+    score_stream(
+        bodies, given.PLANS[:1], given.steps(), out=where, checkpoint=f"{where}/checkpoint"
+    ).awaitTermination()
+    merge_outcomes(spark, f"{where}/outcomes")
+    return where
+
+
+@query
+def merged_results(spark, sf_dir):
+    """The rows of a stream after its batches were merged."""
+    return results(read_outcomes(spark, _merged(spark, sf_dir) + "/outcomes")).select(*records.RESULT_COLUMNS)
+
+
+@query
+def running_accuracy(spark, sf_dir):
+    """Accuracy per model from the counts of the batches of a stream."""
+    return accuracy_so_far(spark, _merged(spark, sf_dir))
+
+
 @query
 def bounded_batches(spark, sf_dir):
     """Messages of one file, taken 300 a batch: how many each batch completed."""

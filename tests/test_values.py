@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from acceptance.inputs import LABELS
+from verdict.operators import records
 from verdict.functions.text import clean_json_text, first_text, parse_number, reply_is_yes
 from verdict.functions.variants import (
+    float_text,
     described,
     is_boolean,
     is_falsy,
@@ -164,3 +166,23 @@ def test_absent_is_falsy(spark):
     df = spark.range(1).withColumn("d", F.expr(absent))
     row = df.selectExpr(f"{is_falsy('d')} AS f", f"{is_object('d')} AS o", f"{is_unbindable('d')} AS u").first()
     assert (row.f, row.o, row.u) == (True, False, False)
+
+
+def test_stored_floats_follow_python(spark):
+    rng = random.Random(1)
+    values = [0.0, -0.0, 1e22, 1e16, 1e15, 1e-4, 1e-5, 5.0, -12.5, 5e-324, 1.7976931348623157e308, 0.001, 4.06764177207672e18]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-20, 25) for _ in range(1500)]
+    values += [round(rng.uniform(0, 1e6), rng.randint(0, 6)) for _ in range(500)] + [float(rng.randint(0, 10**22)) for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(F.expr(float_text("v")).alias("t"))
+    texts = [r["t"] for r in rows.collect()]
+    assert [float(t) for t in texts] == values
+    # Of two numbers of as many digits that stand for one float, the platform may name the other.
+    other = [(t, repr(v)) for t, v in zip(texts, values, strict=True) if t != repr(v)]
+    assert len(other) <= 5 and all(len(a) == len(b) for a, b in other)
+
+
+@pytest.mark.parametrize("number, text", [("1e22", "1e+22"), ("0.1", "0.1"), ("2.50", "2.5"), ("7", "7"), ("1E-7", "1e-07"), ("0.12345678901234567890", "0.12345678901234568"), ("-3e2", "-300.0")])
+def test_numbers_are_stored_as_text(spark, number, text):
+    answer = f'{{"success": true, "model": "m", "is_hate_speech": true, "output": {{"id": {number}, "comment": "c", "label": 1}}}}'
+    rows = records.check_answer_texts(spark.createDataFrame([(answer,)], "a string"), "a")
+    assert rows.first()["record_id"] == text

@@ -120,7 +120,32 @@ def is_unbindable(seen: str) -> str:
       OR ({seen}.kind LIKE 'DECIMAL(%,0)' AND try_cast({seen}.text AS BIGINT) IS NULL), false)"""
 
 
+def float_text(number: str) -> str:
+    """A double as Python writes it: the same digits, with an exponent of two digits or more where it has less than
+    -4 or more than 15 places."""
+    # The fewest digits that stand for the number; the platform's own text may have one too many.
+    tried = ", ".join(f"format_string('%.{digits}e', {number})" for digits in (0, 14, 15, 16))
+    shortest = f"""coalesce(get(filter(array({tried}), s -> CAST(s AS DOUBLE) = {number}), 0), CAST({number} AS STRING))"""
+    # From 12.5, 1.25E7 or 1.25e-05: the digits, and how many of them stand before the point.
+    return f"""element_at(transform(transform(transform(array(replace({shortest}, 'e', 'E')),
+      t -> named_struct('sign', if(startswith(t, '-'), '-', ''), 'm', split_part(ltrim('-', t), 'E', 1),
+        'e', coalesce(try_cast(nullif(split_part(t, 'E', 2), '') AS INT), 0), 'whole', t)),
+      p -> named_struct('sign', p.sign, 'whole', p.whole,
+        'digits', rtrim('0', ltrim('0', replace(p.m, '.', ''))),
+        'point', length(split_part(p.m, '.', 1)) + p.e - (length(replace(p.m, '.', '')) - length(ltrim('0', replace(p.m, '.', '')))))),
+      n -> CASE WHEN n.whole IN ('NaN', 'Infinity', '-Infinity') THEN n.whole
+        WHEN n.digits = '' THEN n.sign || '0.0'
+        WHEN n.point > 16 OR n.point < -3 THEN n.sign || left(n.digits, 1)
+          || if(length(n.digits) > 1, '.' || substr(n.digits, 2), '')
+          || if(n.point > 16, 'e+', 'e-') || lpad(CAST(abs(n.point - 1) AS STRING), greatest(2, length(CAST(abs(n.point - 1) AS STRING))), '0')
+        WHEN n.point <= 0 THEN n.sign || '0.' || repeat('0', -n.point) || n.digits
+        WHEN n.point >= length(n.digits) THEN n.sign || rpad(n.digits, n.point, '0') || '.0'
+        ELSE n.sign || left(n.digits, n.point) || '.' || substr(n.digits, n.point + 1) END), 1)"""
+
+
 def stored_text(seen: str) -> str:
-    """A scalar as a text column keeps it: booleans as 1 and 0."""
-    return f"""CASE WHEN {seen}.kind <> 'BOOLEAN' THEN {seen}.text
+    """A scalar as a text column keeps it: booleans as 1 and 0, numbers with a fraction or an exponent as Python's floats."""
+    floating = f"({seen}.kind IN ('DOUBLE', 'FLOAT') OR ({seen}.kind LIKE 'DECIMAL(%' AND {seen}.kind NOT LIKE 'DECIMAL(%,0)'))"
+    return f"""CASE WHEN {floating} THEN {float_text(f"CAST({seen}.text AS DOUBLE)")}
+      WHEN {seen}.kind <> 'BOOLEAN' THEN {seen}.text
       WHEN {seen}.text = 'true' THEN '1' WHEN {seen}.text = 'false' THEN '0' END"""
