@@ -138,9 +138,9 @@ class Encoder:
         self.known.add(new, encode(new))
         return np.fromiter(map(known.__getitem__, texts), np.int64, len(texts))
 
-    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look_up(self, words: pa.Array, remembered: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of these distinct words one after another, where each begins and the last ends, and their hash buckets."""
-        if len(self.known.number) > REMEMBERED:
+        if len(self.known.number) > (REMEMBERED if remembered is None else remembered):
             self.known = Pool()
         parts = pc.extract_regex(words, _SIMPLE)
         simple = pc.is_valid(parts).to_numpy(zero_copy_only=False)
@@ -159,7 +159,7 @@ class Encoder:
         buckets[~simple] = [zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % BUCKETS for w in words.filter(pa.array(~simple)).to_pylist()]
         return ids, upto[::2], buckets
 
-    def documents(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    def documents(self, texts: pa.Array, remembered: int | None = None) -> tuple[list[bytes], np.ndarray]:
         """The ids of each text (none is null), with END behind them, and its place on the curve."""
         # Only ASCII white space parts words here; other kinds stay inside a word and are left to the tokenizer.
         lists = pc.ascii_split_whitespace(texts)
@@ -170,7 +170,7 @@ class Encoder:
         coded = values.filter(full).dictionary_encode()
         codes, sizes = coded.indices.to_numpy(zero_copy_only=False), np.diff(ends)
         del lists, values, full
-        pool, begin, buckets = self.look_up(coded.dictionary)
+        pool, begin, buckets = self.look_up(coded.dictionary, remembered)
         ids, upto = gather(pool, begin[codes], np.diff(begin)[codes])
         upto = upto[ends]
         sums = np.concatenate((np.zeros((1, DIMENSIONS), np.int32), np.cumsum(self.signs[buckets][codes], axis=0, dtype=np.int32)))[ends]
@@ -195,18 +195,19 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, remembered: int | None = None) -> DataFrame:
     """doc_id, n, place, ids (16 bits each, END behind them) for each row of docs (doc_id, text). Null texts are empty.
 
     path is where the vocabulary's file lies on every machine; without it each machine asks its installed package.
-    A worker's memory grows with chunk, the bytes of text it works on at once; smaller ones take more time.
+    A worker's memory grows with chunk, the bytes of text it works on at once, and with the parts of words it remembers
+    (REMEMBERED unless told otherwise); smaller numbers take more time.
     """
 
     def run(batches):
         encoder = _encoder(path or vocabulary())
         for batch in batches:
             for a, b, texts in text_parts(batch.column(1), chunk):
-                ids, places = encoder.documents(pc.fill_null(texts, ""))
+                ids, places = encoder.documents(pc.fill_null(texts, ""), remembered)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(places), pa.array(ids, pa.binary())],
                     names=names(_TOKENS),
@@ -233,7 +234,7 @@ def offsets(tokens: DataFrame) -> DataFrame:
     return local.join(base, "part").select("row", (F.col("base") + F.col("before")).alias("position"))
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, chunk: int = CHUNK) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, chunk: int = CHUNK, remembered: int | None = None) -> DataFrame:
     """Pieces of documents in sequences of ``length`` tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every row of docs (doc_id, text, ...) is its own document, repeated rows and rows without id
@@ -241,7 +242,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, chunk:
     curve and full but the last, which is padded unless it has a power of two tokens. An empty table
     gives no pieces. Other columns are not read.
     """
-    tokens = stored(encoded(docs, path, chunk).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    tokens = stored(encoded(docs, path, chunk, remembered).withColumn("row", F.monotonically_increasing_id()), "tokens")
     placed = tokens.select("row", "doc_id", "n", "ids").join(offsets(tokens), "row").select("doc_id", "n", "ids", "position")
 
     def cut(batches):

@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdict.llm.common import give_back
+
 KINDS = ("email", "ip", "card", "phone")
 #: Documents with digits or at signs the field is trained on at most, those of least hash of their id.
 SAMPLE = 3_000
@@ -321,8 +324,8 @@ def fit(docs: DataFrame) -> Model:
         rows = rows.filter(F.col("h") <= int((share - 0.5) * 2**64))
 
     def seen(frames):
+        shapes: Counter = Counter()
         for pdf in frames:
-            out = []
             for text in pdf["text"]:
                 base = base_spans(text)
                 forms = [(text, base)]
@@ -333,26 +336,25 @@ def fit(docs: DataFrame) -> Model:
                     for units in _drawn(form, spans):
                         pairs, f = candidates(form, units)
                         gold = [next((k for k, kind in enumerate(KINDS) if span_of(form, units, i, j, kind) in known), -1) for i, j in pairs]
-                        out.append((len(units), gold, f.reshape(-1).tolist()))
-            yield pd.DataFrame(out, columns=["n", "gold", "f"])
+                        # All features are yes or no.
+                        shapes[len(units), np.array(gold, np.int8).tobytes(), np.packbits(f > 0).tobytes()] += 1
+        yield pd.DataFrame([(*shape, many) for shape, many in shapes.items()], columns=["n", "gold", "f", "many"])
 
-    sample = rows.orderBy("h").limit(SAMPLE).mapInPandas(seen, "n int, gold array<int>, f array<double>").toPandas()
-    data = []
-    for n, gold, f in zip(sample["n"], sample["gold"], sample["f"], strict=True):
-        pairs = [(i, j) for i in range(n) for j in range(i + 1, min(i + MOST_UNITS, n) + 1)]
-        data.append((n, pairs, np.array(f).reshape(len(pairs), -1), np.array(gold)))
     # Equal regions count once, with their number: few shapes make up most of a sample.
-    shapes: dict = {}
-    for n, pairs, f, gold in data:
-        shapes.setdefault((n, f.tobytes(), gold.tobytes()), [0, n, pairs, f, gold])[0] += 1
+    sample = rows.orderBy("h").limit(SAMPLE).repartition(8, "h").mapInPandas(seen, "n int, gold binary, f binary, many long")
+    shapes = []
+    for n, gold, f, many in sample.groupBy("n", "gold", "f").agg(F.sum("many").alias("many")).orderBy("n", "gold", "f").collect():
+        pairs = [(i, j) for i in range(n) for j in range(i + 1, min(i + MOST_UNITS, n) + 1)]
+        bits = np.unpackbits(np.frombuffer(f, np.uint8), count=len(pairs) * N_FEATURES)
+        shapes.append((many, n, pairs, bits.reshape(len(pairs), -1).astype(float), np.frombuffer(gold, np.int8)))
     k = len(KINDS) + 1
     model = Model(np.zeros((len(KINDS), N_FEATURES)), np.zeros((k, k)))
     model.weights[:, 0] = -2.0
-    total = max(len(data), 1)
+    total = max(sum(many for many, *_ in shapes), 1)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (model.weights, model.order)]
     for step in range(1, STEPS + 1):
         w, order = RIDGE * model.weights, RIDGE * model.order
-        for many, n, pairs, f, gold in shapes.values():
+        for many, n, pairs, f, gold in shapes:
             e_w, e_order = _expected(model, n, pairs, f)
             at, last = 0, k - 1
             while at < n:
@@ -416,7 +418,9 @@ def mask(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
         return "".join([*out, text[at:]])
 
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([clean(t) for t in texts], dtype=object)
+        out = pd.Series([clean(t) for t in texts], dtype=object)
+        give_back()
+        return out
 
     return docs.withColumn(column, F.pandas_udf(run, "string")(F.col(column)))
 
