@@ -18,8 +18,8 @@ from verdict.llm.common import clear_scratch, fold, scratch_tables, small_batche
 CLEAR = 0.4
 #: A column for row numbers.
 ROW = "_row"
-#: Bytes of text a packing worker holds at once, next to what earlier stages left in the executor.
-PACKED_AT_ONCE = 2_000_000
+#: Bytes of text a packing worker holds at once and parts of words it remembers, next to what earlier stages left in the executor.
+PACKED_AT_ONCE, REMEMBERED = 2_000_000, 120_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences; see packing.pack."""
     small_batches(spark)
-    return packing.pack(docs, chunk=PACKED_AT_ONCE)
+    return packing.pack(docs, chunk=PACKED_AT_ONCE, remembered=REMEMBERED)
 
 
 STAGES = [
