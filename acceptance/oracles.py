@@ -285,6 +285,9 @@ ORACLES["fitted_model_quality"] = """
 SELECT COUNT(*) AS n, COUNT(d.text) AS answered, true AS fitted_well, true AS held_out_well
 FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic IS NOT NULL"""
 
+ORACLES["redelivered_results"] = f"""SELECT r.* FROM ({RESULTS}) r
+WHERE CAST(record_id AS BIGINT) % 7 = 4 AND CAST(record_id AS BIGINT) % 13 NOT IN (5, 6)"""
+
 ORACLES["merged_results"] = ORACLES["stream_results"]
 ORACLES["running_accuracy"] = ACCURACY
 

@@ -36,7 +36,7 @@ from verdict.operators.scoring import (
     smoke_check,
 )
 from verdict.operators.tolerant import score_tolerant
-from verdict.plans.model import plan_rows, step_table
+from verdict.plans.model import Plan, plan_rows, step_table
 from verdict.plans.routing import dead_letters, expand_steps, message_outcomes, route_split, runnable, unknown_steps
 from verdict.plans.relational import run_many_plans
 from verdict.plans.runner import bind_inputs, run_plans
@@ -59,6 +59,7 @@ from verdict.sources.results import (
     read_outcomes,
 )
 from verdict.streaming.pipeline import accuracy_so_far, batch_totals, drain, score_stream
+from verdict.streaming.redelivery import read_redelivered, redeliver
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -572,6 +573,19 @@ def running_accuracy(spark, sf_dir):
     return accuracy_so_far(spark, _merged(spark, sf_dir))
 
 
+@query
+def redelivered_results(spark, sf_dir):
+    """Messages of an unknown plan, stored as dead letters, run once the plan is there and no second time."""
+    where = scratch_dir(spark, "redelivery")
+    publish(given.mixed_messages(spark, sf_dir), f"{where}/messages")
+    bodies = stream_messages(spark, f"{where}/messages")
+    score_stream(bodies, given.PLANS, given.steps(), out=where, checkpoint=f"{where}/checkpoint").awaitTermination()
+    later = [*given.PLANS, Plan("Nobody", given.PLANS[0].steps)]
+    for _ in range(2):
+        redeliver(spark, where, later, given.steps())
+    return results(read_redelivered(spark, where)).select(*records.RESULT_COLUMNS)
+
+
 @query
 def bounded_batches(spark, sf_dir):
     """Messages of one file, taken 300 a batch: how many each batch completed."""

@@ -42,11 +42,15 @@ SPARK_TYPES = {
 }
 
 
+#: What a fitted model says of each text; its quality is a query of its own.
+NO_SQL = {"fitted_model_rows"}
+
+
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - NO_SQL == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, duck, sf_dir, name):
     got = QUERIES[name](spark, sf_dir)
     want = duck.sql(ORACLES[name])

@@ -11,7 +11,7 @@ WRITERS = {
     "stored_results", "stream_results", "stream_batches", "csv_corpus", "jsonl_input",
     "published_messages", "peeked_message", "message_files", "published_counts", "stored_result_ids",
     "bounded_batches", "large_csv", "fitted_model_rows", "fitted_model_quality", "score_native_faults",
-    "merged_results", "running_accuracy",
+    "merged_results", "running_accuracy", "redelivered_results",
 }
 
 
