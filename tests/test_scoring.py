@@ -234,14 +234,16 @@ def test_a_fitted_model_is_kept_and_scores_held_out_rows(spark, sf_dir, tmp_path
     assert sum(r["flagged"] == (r["label"] == 1) for r in held) >= 0.93 * len(held)
 
 
-def test_models_need_both_labels(spark):
+def test_models_need_both_labels(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", None), (None, 0.0), ("d", 2.0)], "comment string, label double")
     with pytest.raises(ValueError, match="both labels"):
         models.fit_text_model(rows)
     model = models.fit_text_model(rows.unionByName(spark.createDataFrame([("e", 0.0)], rows.schema)))
-    scored = score_corpus(rows, [ModelScorer("m", transformer=model)]).collect()
-    assert [r["error"] for r in scored] == [None, None, None, "missing_text", None]
-    assert [r["flagged"] for r in scored[:2]] == [True, True]
+    models.save_model(model, str(tmp_path / "m"))
+    scored = score_corpus(rows, [models.load_scorer("m", str(tmp_path / "m"))], carry=["comment"]).collect()
+    assert {r["comment"]: (r["flagged"], r["error"]) for r in scored if r["comment"] in ("a", "b", None)} == {
+        "a": (True, None), "b": (True, None), None: (None, "missing_text")
+    }
 
 
 def test_folds(spark):

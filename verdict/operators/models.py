@@ -35,6 +35,7 @@ def fit_text_model(
 
     Terms are runs of letters and digits in lower case; a text holds a term or does not.
     Both labels weigh the same in all, however rare one is. Rows of one label only cannot be learned from.
+    Keep the model and load its scorer: fresh from the fit it holds a summary that Spark cannot send to tasks.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("double").alias("label"))
     rows = rows.filter("text IS NOT NULL AND label IN (0, 1)")
