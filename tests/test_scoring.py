@@ -2,6 +2,7 @@
 
 import os
 import uuid
+import weakref
 from dataclasses import replace
 
 import pandas as pd
@@ -214,6 +215,26 @@ def test_set_up_runs_once_a_worker(spark, tmp_path):
     assert 0 < len(pids) == len(set(pids)) <= 16
 
 
+def test_memory_of_a_pandas_scorer_is_bounded(spark):
+    """Batches are bounded by bytes, and the texts of one are gone before the third after it is read."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+
+    def classify(seen, texts):
+        large = texts.str.len().sum() > 5 << 20
+        seen.append(weakref.ref(texts))
+        return pd.Series([bool(large) or sum(r() is not None for r in seen) > 3] * len(texts))
+
+    rows = spark.range(0, 6000, 1, 1).select(F.col("id"), F.expr("repeat('x', 4000)").alias("comment"))
+    scored = score_corpus(rows, [PandasScorer("bounded", flag=classify, setup=list)], carry=["id"])
+    try:
+        assert scored.filter("success AND NOT flagged").count() == 6000
+    finally:
+        if before is not None:
+            spark.conf.set(key, before)
+
+
 def test_a_failing_set_up_is_an_answer(spark):
     def setup():
         raise OSError("no model")

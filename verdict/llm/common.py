@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import tempfile
 import uuid
 import zlib
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdict.session import give_back, small_batches  # noqa: F401
+
 #: Words of the contracts: what lies between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,19 +21,9 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 
-#: Bytes of an Arrow batch between Spark and a Python worker, where the session names no bound of its own.
-BATCH = 4 << 20
-
 _made: list[str] = []
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, so that those of long texts take no more memory than those of short ones."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(BATCH))
-
-
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share; one of this machine only in local mode where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -154,11 +145,3 @@ def text_slices(column: pa.Array, most: int):
     """(begin, end, texts) of an Arrow column, at most ``most`` bytes or one text at a time."""
     for a, b, part in text_parts(column, most):
         yield a, b, part.to_pylist()
-
-
-def give_back() -> None:
-    """Return free memory to the system: Arrow and the C library would keep it for the life of the worker."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it, others do not
-    if trim is not None:
-        trim(0)
