@@ -7,6 +7,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from acceptance import inputs as given
+from acceptance import queries
 from verdict.operators.envelope import decode_messages, encode_messages, take_messages
 from verdict.session import scratch_dir
 from verdict.sources.corpus import read_labelled_csv, read_large_csv, write_labelled_csv
@@ -189,3 +191,13 @@ def test_large_csv_header_over_blocks(spark, tmp_path, small_blocks):
     (tmp_path / "a.csv").write_text(header + body + '30,"open\nend', encoding="utf-8", newline="")
     rows = {r["id"]: (r["comment"], r["label"]) for r in read_large_csv(spark, str(tmp_path)).collect()}
     assert len(rows) == 31 and rows["7"] == ("t7", "1") and rows["30"][0].startswith("open")
+
+
+def test_large_csv_is_written_by_as_many_tasks_as_it_needs(spark, sf_dir, tmp_path, monkeypatch):
+    where = tmp_path / "csv"
+    monkeypatch.setattr(queries, "scratch_dir", lambda *_: str(where))
+    monkeypatch.setattr(queries, "CSV_BYTES", 100_000, raising=False)
+    rows = Counter(map(tuple, queries.large_csv(spark, sf_dir).collect()))
+    sizes = [part.stat().st_size for part in where.glob("part-*")]
+    assert len(sizes) > 3 and max(sizes) < 300_000
+    assert rows.total() == given.corpus(spark, sf_dir).count()
