@@ -66,6 +66,8 @@ QUERIES: dict[str, Query] = {}
 
 #: Bytes of text of a CSV file that one task writes and several read.
 CSV_BYTES = 384 << 20
+#: Files that one task writes one after the other.
+TASK_FILES = 500
 
 
 def query(fn: Query) -> Query:
@@ -684,7 +686,8 @@ def message_files(spark, sf_dir):
         F.struct(F.lit("AB").alias("plan"), F.struct("id", "comment").alias("input")),
         {"pretty": "true"},
     )
-    suppliers.select(body.alias("value")).write.option("maxRecordsPerFile", 1).text(where)
+    tasks = 1 + suppliers.count() // TASK_FILES
+    suppliers.select(body.alias("value")).repartition(tasks).write.option("maxRecordsPerFile", 1).text(where)
     return decode_messages(read_message_file(spark, where)).select(
         _input_id(), "plan", F.try_variant_get("input", "$.comment", "string").alias("comment")
     )

@@ -201,3 +201,13 @@ def test_large_csv_is_written_by_as_many_tasks_as_it_needs(spark, sf_dir, tmp_pa
     sizes = [part.stat().st_size for part in where.glob("part-*")]
     assert len(sizes) > 3 and max(sizes) < 300_000
     assert rows.total() == given.corpus(spark, sf_dir).count()
+
+
+def test_message_files_are_written_by_many_tasks(spark, sf_dir, tmp_path, monkeypatch):
+    where = tmp_path / "files"
+    monkeypatch.setattr(queries, "scratch_dir", lambda *_: str(where))
+    monkeypatch.setattr(queries, "TASK_FILES", 3, raising=False)
+    n = given.table(spark, sf_dir, "supplier").count()
+    assert queries.message_files(spark, sf_dir).count() == n
+    files = [part.name for part in where.glob("part-*")]
+    assert len(files) == n and len({name.split("-")[1] for name in files}) > 1
