@@ -18,6 +18,8 @@ from verdict.llm.common import clear_scratch, fold, scratch_tables, small_batche
 CLEAR = 0.4
 #: A column for row numbers.
 ROW = "_row"
+#: Bytes of a bitmap of rows, and of all bitmaps up to which they are broadcast.
+BITMAP, BROADCAST = 4_096, 64 << 20
 #: Bytes of text a packing worker holds at once and parts of words it remembers, next to what earlier stages left in the executor.
 PACKED_AT_ONCE, REMEMBERED = 2_000_000, 120_000
 
@@ -41,6 +43,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.mapInArrow(keep, docs.schema)
 
 
+def rows_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose number (ROW) is in ids, each once, read where they lie.
+
+    A bit a row is broadcast, so no text is shuffled; beyond BROADCAST bytes, about 500 million rows, Spark chooses the join.
+    Tables that ids reads are not needed any more.
+    """
+    # One more, as bitmaps begin at 1: the first row of a partition begins one.
+    bucket, bit = F.bitmap_bucket_number(F.col(ROW) + 1), F.bitmap_bit_position(F.col(ROW) + 1)
+    # Dealt out before the aggregation, or every task would send a bitmap for every bucket.
+    marks = ids.select(bucket.alias("_bucket"), bit.alias("_bit")).repartition("_bucket")
+    marks = stored(marks.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_marks")), "marks")
+    if marks.count() * BITMAP <= BROADCAST:
+        marks = F.broadcast(marks)
+    marked = F.expr("getbit(cast(conv(hex(substring(_marks, cast(_bit div 8 + 1 as int), 1)), 16, 10) as int), cast(_bit % 8 as int)) = 1")
+    return rows.withColumns({"_bucket": bucket, "_bit": bit}).join(marks, "_bucket").filter(marked).select(rows.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: that of least id, rows without id last.
 
@@ -50,11 +69,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     small_batches(spark)
     numbered = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    before = scratch_tables()
     found = minhash.near_duplicates(numbered.select(F.col(ROW).alias("doc_id"), "text"), width=5, percent=80)
     found = found.select(F.col("doc_id").alias(ROW), "component_id").join(numbered.select(ROW, "doc_id"), ROW)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)).alias("least")
-    kept = stored(found.groupBy("component_id").agg(least).select(F.col(f"least.{ROW}").alias(ROW)), "kept")
-    return numbered.join(kept, ROW, "left_semi").select(docs.columns)
+    kept = rows_of(numbered, found.groupBy("component_id").agg(least).select(F.col(f"least.{ROW}").alias(ROW)))
+    # Sketches, sets and links are of no use any more; only the marks of the rows are.
+    clear_scratch(spark, before, keep=1)
+    return kept.select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from verdict.llm import ann, chat, language, licenses, minhash, mixing, packing, pii, toxicity, vector_dedup
-from verdict.llm.common import components, fold
+from verdict.llm.common import components, fold, scratch_tables
 from verdict.llm.queries import table
 
 
@@ -536,6 +536,34 @@ def test_pipeline_keeps_different_texts_of_one_id(spark, sf_dir):
     assert kept == {(3, texts[0]): 1, (5, texts[1]): 1, (None, None): 1, (4, ""): 2}
 
 
+def test_pipeline_drops_copies_without_shuffling_texts(spark, sf_dir):
+    """No text is shuffled even where the numbers of kept rows are too many to broadcast, and only two scratch tables stay."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before, first = spark.conf.get(key), scratch_tables()
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(words[i % 20 * 20 :][:20]), "en", "s", 1) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.conf.set(key, "-1")
+    try:
+        kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs.repartition(5), sf_dir)
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(20))
+        assert not re.search("Exchange hashpartitioning|SortMergeJoin", kept._jdf.queryExecution().executedPlan().toString())
+        assert scratch_tables() - first == 2
+    finally:
+        spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("most", [corpus_pipeline.BROADCAST, 0])
+def test_rows_of(spark, monkeypatch, most):
+    """Rows by their numbers, over several bitmaps of several partitions, broadcast or not."""
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST", most)
+    rows = spark.range(0, 150_000, 1, 3).withColumn(corpus_pipeline.ROW, F.monotonically_increasing_id())
+    wanted = {i for i in range(150_000) if i % 50_000 < 9 or 32_760 < i % 50_000 < 32_777 or i % 7 == 3}
+    ids = rows.filter(F.pmod("id", F.lit(50_000)).cast("int").isin([*range(9), *range(32_761, 32_777)]) | (F.col("id") % 7 == 3)).select(corpus_pipeline.ROW)
+    got = [r["id"] for r in corpus_pipeline.rows_of(rows, ids).select("id").collect()]
+    assert len(got) == len(wanted) and set(got) == wanted
+    assert corpus_pipeline.rows_of(rows, ids.limit(0)).count() == 0
+
+
 def test_pipeline_stages_on_empty_and_clashing_tables(spark, odd_docs, sf_dir):
     for docs in (odd_docs.limit(0), odd_docs):
         for name, stage in corpus_pipeline.STAGES:
