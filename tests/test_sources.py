@@ -11,6 +11,7 @@ from acceptance import inputs as given
 from acceptance import queries
 from verdict.operators.envelope import decode_messages, encode_messages, take_messages
 from verdict.session import scratch_dir
+from verdict.sources import split_csv
 from verdict.sources.corpus import read_labelled_csv, read_large_csv, write_labelled_csv
 from verdict.sources.messages import (
     peek_message,
@@ -171,6 +172,23 @@ def test_large_csv_equals_the_read_by_one_task(spark, tmp_path, small_blocks):
     assert sum(whole_and_split(spark, str(tmp_path)).values()) == 120
 
 
+def test_large_csv_with_beginnings_too_long_to_hold(spark, tmp_path, small_blocks, monkeypatch):
+    """Fragments that are stitched after a shuffle give the same rows as beginnings the driver holds."""
+    lines = [",text,label", *(f'{i},"{'a ""b""' * (i % 7)}\n{"c" * (3 * i)}\n",1' for i in range(40))]
+    (tmp_path / "one.csv").write_text("\n".join(lines) + "\n", encoding="utf-8", newline="")
+    (tmp_path / "two.csv").write_text('label,text,\n0,"' + "word\n" * 300 + '",x\n1,open,"y\n\nz', newline="")
+    held = whole_and_split(spark, str(tmp_path))
+    for name, few in (("FIRST_LINES", 3), ("HELD_OF_BLOCK", 20)):
+        monkeypatch.setattr(split_csv, name, few)
+        assert whole_and_split(spark, str(tmp_path)) == held and held.total() == 42
+
+
+def test_large_csv_lines_go_to_python_once(spark, tmp_path):
+    (tmp_path / "one.csv").write_text(',text,label\n1,"a\nb",0\n', newline="")
+    plan = read_large_csv(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
 def test_large_csv_by_header_and_odd_files(spark, tmp_path, small_blocks):
     (tmp_path / "a.csv").write_text(",text,label\r\n1,aaa,0\r\n\r\n2,\"b\r\nb\",1\r\n" * 1, newline="")
     (tmp_path / "b.csv").write_text("label,,text\n1,2,bbb\n0,3,ccc", newline="")
