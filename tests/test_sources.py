@@ -178,7 +178,7 @@ def test_large_csv_with_beginnings_too_long_to_hold(spark, tmp_path, small_block
     (tmp_path / "one.csv").write_text("\n".join(lines) + "\n", encoding="utf-8", newline="")
     (tmp_path / "two.csv").write_text('label,text,\n0,"' + "word\n" * 300 + '",x\n1,open,"y\n\nz', newline="")
     held = whole_and_split(spark, str(tmp_path))
-    for name, few in (("FIRST_LINES", 3), ("HELD_OF_BLOCK", 20)):
+    for name, few in (("MARKED", 3), ("FIRST_LINES", 3), ("HELD_OF_BLOCK", 20)):
         monkeypatch.setattr(split_csv, name, few)
         assert whole_and_split(spark, str(tmp_path)) == held and held.total() == 42
 
